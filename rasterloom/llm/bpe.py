@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import ship
+
 VOCAB_BOUND = 1_000_000
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same split in the faster standard engine, right for texts without the characters of ODD.
@@ -183,6 +185,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
     one to one, so repeated rows and null ids need no care; other columns are ignored. ``keep`` and ``outputs`` must not
     overlap. No shuffle."""
     spark = docs.sparkSession
+    ship(spark)
     vocab = Vocabulary.from_file(tokenizer_path)
     sent, name = spark.sparkContext.broadcast(vocab), tokenizer_path
     kinds = {"ids": "binary", "n_tokens": "bigint", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}

@@ -6,7 +6,9 @@ import importlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .bpe import encode
 from .common import table
 
@@ -15,6 +17,13 @@ TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), TOKENIZER_FILE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -24,7 +33,7 @@ MODULES = ()
 
 
 def queries() -> dict:
-    out = {"op4_bpe": op4_bpe}
+    out = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).QUERIES
     return out
