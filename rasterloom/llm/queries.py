@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .bpe import encode
 from .common import table
+from .decontaminate import decontaminate
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -28,19 +29,38 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), TOKENIZER_FILE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP8_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
+b as (select cast(item_id as varchar) item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark where item_id is not null),
+wi as (select distinct item, least(10, len(w)) n, array_to_string(list_slice(w, s, s + 9), ' ') g from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) s from b where len(w) > 0)),
+ns as (select distinct n from wi),
+dg as (select doc_id, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) s from d, ns where len(w) >= n)),
+h as (select distinct doc_id, s, dg.n, item from dg join wi on dg.n = wi.n and dg.g = wi.g),
+nh as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(s, s + n)) p from h) group by doc_id),
+it as (select doc_id, count(*) n_items, sha256(string_agg(item, ',' order by item)) items_sha256 from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(items_sha256, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join nh using (doc_id) left join it using (doc_id)
+"""
+
+
 #: Modules of this subpackage with QUERIES and ORACLES of their own.
 MODULES = ()
 
 
 def queries() -> dict:
-    out = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe}
+    out = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out: dict[str, str] = {"op8_decontamination": OP8_SQL}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).ORACLES
     return out
