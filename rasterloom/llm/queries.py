@@ -12,6 +12,7 @@ from . import toxicity
 from .bpe import encode
 from .common import table
 from .decontaminate import decontaminate
+from .jaccard import link_components
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -25,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), TOKENIZER_FILE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -53,7 +58,7 @@ MODULES = ()
 
 
 def queries() -> dict:
-    out = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination}
+    out = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).QUERIES
     return out
