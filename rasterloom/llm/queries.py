@@ -13,6 +13,8 @@ from .bpe import encode
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard import link_components
+from .pii import personal_data
+from .secrets import secrets
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -39,6 +41,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 OP8_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
 b as (select cast(item_id as varchar) item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from benchmark where item_id is not null),
@@ -58,7 +70,7 @@ MODULES = ()
 
 
 def queries() -> dict:
-    out = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination}
+    out = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).QUERIES
     return out
