@@ -22,8 +22,12 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; a null text has none."""
-    bare = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"^{GAP}|{GAP}$", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
+
+
+def count_words(text: Column) -> Column:
+    """The number of ``words_of`` a text, without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
 
 def windows_of(items: DataFrame, size: int, item_col: str, text_col: str) -> DataFrame:
@@ -76,6 +80,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     named = found.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     marks = inside.join(named, "key")
     m = marks.select(F.col("key.id").alias("m_id"), F.col("key.h").alias("m_h"), F.col("key.n").alias("m_n"), "n_hit", "items")
-    base = docs.select(row_key(id_col, F.col(text_col)).alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    base = docs.select(row_key(id_col, F.col(text_col)).alias("key"), count_words(F.col(text_col)).cast("long").alias("n_words"))
     joined = base.join(m, F.col("key.id").eqNullSafe(F.col("m_id")) & (F.col("key.h") == F.col("m_h")) & (F.col("key.n").eqNullSafe(F.col("m_n"))), "left")
     return joined.select(F.col("key.id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import toxicity
+from .ann import nearest
 from .bpe import encode
 from .common import table
 from .decontaminate import decontaminate
@@ -36,6 +37,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), TOKENIZER_FILE, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -70,7 +76,7 @@ MODULES = ()
 
 
 def queries() -> dict:
-    out = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+    out = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op7_neighbours": op7_neighbours, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).QUERIES
     return out
