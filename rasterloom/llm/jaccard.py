@@ -7,7 +7,8 @@ Tokens are hashes of the distinct five-word shingles of a document. The steps:
    they are needed, which costs less than to store and shuffle them.
 2. A total order of tokens, rarest first: tokens met often within a batch of texts come last (the ``HEAVY`` commonest of
    them are told apart by their counts). Only speed depends on how well this follows true frequency.
-3. Prefixes: if two sets are similar, the first n - ceil(t*n) + 1 tokens of each in that order meet. Tokens that stand in
+3. Prefixes: if two sets are similar, the first n - ceil(t*n) + s tokens of each in that order share s tokens at least (s is a
+   twentieth of n; of two sets, the smaller s counts). Tokens that stand in
    the prefixes of one class only are dropped, which leaves a small share of all tokens.
 4. Stars: each remaining token links its classes to the smallest one, checked exactly. The components of the links found make
    the first groups, so that copies of one text never meet one another in pairs.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, small
 
 HEAVY = 200_000
+CHUNK = 4_000_000
 BLOCK = 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -80,17 +82,25 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scan(src: DataFrame, size: int, least: int = 3) -> DataFrame:
-    """A row (id, n, cls) for each document, and rows (token, c) for tokens that occur ``least`` times within a slice."""
+    """A row (id, n, cls) for each document, and rows (token, c) for tokens that ``least`` of about ``CHUNK`` tokens share."""
+
+    def often(chunk: list[np.ndarray]) -> pa.RecordBatch:
+        tok, c = np.unique(np.concatenate(chunk), return_counts=True)
+        keep, none = c >= least, pa.nulls(int((c >= least).sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tok[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["id", "n", "cls", "token", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = [], 0
         for b, sets, cls in _sets(batches, size):
-            tok, c = np.unique(np.concatenate(sets), return_counts=True)
-            often = c >= least
-            tok, c, k = tok[often].view(np.int64), c[often], len(sets)
-            rows = [pa.concat_arrays([b.column("id"), pa.nulls(len(tok), pa.int64())])]
-            rows += [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(tok), pa.int64())]) for x in ([len(s) for s in sets], cls)]
-            rows += [pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(x.astype(np.int64))]) for x in (tok, c)]
-            yield pa.RecordBatch.from_arrays(rows, ["id", "n", "cls", "token", "c"])
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), none, none], ["id", "n", "cls", "token", "c"])
+            chunk += sets
+            held += sum(map(len, sets))
+            if held >= CHUNK:
+                yield often(chunk)
+                chunk, held = [], 0
+        if chunk:
+            yield often(chunk)
 
     return src.mapInArrow(run, "id bigint, n bigint, cls bigint, token bigint, c bigint")
 
@@ -101,36 +111,36 @@ def heavy_tokens(scanned: DataFrame, top: int = HEAVY) -> list[tuple[int, int]]:
     return [(r["token"], r["c"]) for r in counted.orderBy(F.desc("c"), "token").limit(top).collect()]
 
 
+def slack(n):
+    """How many tokens the prefixes of two similar sets share at least: the smaller set's count, as prefixes are longer by it."""
+    return n // 20 + 1 if isinstance(n, int) else F.floor(n / 20) + 1
+
+
 def prefixes(src: DataFrame, size: int, heavy: list[tuple[int, int]], percent: int) -> DataFrame:
-    """(token, cls) of the prefix of each set: its first n - ceil(percent*n/100) + 1 tokens, rarest first. Copies within a
-    slice count once."""
+    """(token, cls, n) of the prefix of each set: its first n - ceil(percent*n/100) + slack(n) tokens, rarest first. Copies
+    within a slice count once."""
     order = sorted(heavy)
     sent = src.sparkSession.sparkContext.broadcast((np.array([t for t, _ in order], np.int64), np.array([c for _, c in order], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = sent.value
         for _, sets, cls in _sets(batches, size):
-            once = dict(zip(cls, sets, strict=True))
-            tok, own = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for c, s in once.items():
-                n, t = len(s), s.view(np.int64)
-                if not n:
-                    continue
-                k = n - (percent * n + 99) // 100 + 1
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, t), len(common) - 1)
-                    weight = np.where(common[at] == t, count[at], 0)
-                    if weight.any():
-                        t = t[np.lexsort((t, weight))]
-                    else:
-                        t = np.sort(t)
-                else:
-                    t = np.sort(t)
-                tok.append(t[:k])
-                own.append(np.full(k, c, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok)), pa.array(np.concatenate(own))], ["token", "cls"])
-
-    return src.mapInArrow(run, "token bigint, cls bigint")
+            once = {c: s for c, s in zip(cls, sets, strict=True) if len(s)}
+            if not once:
+                continue
+            n = np.array([len(s) for s in once.values()])
+            flat = np.concatenate(list(once.values())).view(np.int64)
+            doc = np.repeat(np.arange(len(n)), n)
+            weight = np.zeros(len(flat), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                weight = np.where(common[at] == flat, count[at], 0)
+            by = np.lexsort((weight, doc))  # within a document by weight; equal weights stay in the order of the hashes
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            take = by[place < np.repeat(n - (percent * n + 99) // 100 + n // 20 + 1, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(np.array(list(once), np.int64)[doc[take]]), pa.array(n[doc[take]].astype(np.int32))], ["token", "cls", "n"])
+
+    return src.mapInArrow(run, "token bigint, cls bigint, n int")
 
 
 def token_sets(src: DataFrame, size: int) -> DataFrame:
@@ -193,52 +203,47 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = keys.where("n > 0")
     prefix = materialise(prefixes(src, size, heavy_tokens(scanned), percent), "prefix")
     shared = prefix.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("token", "hub")
-    shared = materialise(shared, "shared")
-    near = materialise(prefix.join(small(shared), "token").distinct(), "near")
-    involved = materialise(near.select("cls").distinct(), "involved")
-    # one text for each class that may have links
-    one = materialise(full.join(small(involved), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n")), "one")
-    wanted = materialise(token_sets(src.join(small(one.select("id").distinct()), "id", "left_semi"), size).dropDuplicates(["cls"]), "wanted")
-    near = near.join(small(one.select("cls", "n")), "cls")
-
-    # stars: each class against the hubs it shares most tokens with
-    hub_n = one.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
-    star = near.where("cls <> hub").groupBy("cls", "hub", "n").agg(F.count(F.lit(1)).alias("c")).join(small(hub_n), "hub").where(_size_bound("n", "hub_n", percent))
+    near = materialise(prefix.join(small(materialise(shared, "shared")), "token").distinct(), "near")
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        """(cls, n, tokens) of the classes named, made from one text each."""
+        one = full.join(small(materialise(classes.distinct(), "asked")), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
+        ids = materialise(one.select("id").distinct(), "ids")
+        return materialise(token_sets(src.join(small(ids), "id", "left_semi"), size).join(small(one), "cls", "left_semi").dropDuplicates(["cls"]), "wanted")
+
+    # stars: each class against the hub that it shares most tokens with, and the least hub. A first guess at groups, so weak
+    # pairs are left to the next step.
+    hubs = near.where("cls = hub").select("hub", F.col("n").alias("hub_n")).distinct()
+    star = near.where("cls <> hub").groupBy("cls", "hub", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("n") / 15)
+    star = star.join(hubs, "hub").where(_size_bound("n", "hub_n", percent))
     best = star.groupBy("cls").agg(F.max(F.struct("c", -F.col("hub"))).alias("m"), F.min("hub").alias("low"))
-    pairs = best.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array(-F.col("m.col2"), F.col("low")))).alias("b"))
-    stars = materialise(verified(pairs, wanted, percent), "stars")
+    pairs = materialise(best.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array(-F.col("m.col2"), F.col("low")))).alias("b")), "guesses")
+    stars = materialise(verified(pairs, sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))), percent), "stars")
     first = components(stars)
 
     # token-group matrix: classes against the groups of other components
-    member = near.select("token", "cls", "n").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    member = materialise(member, "member")
+    member = near.select("token", "cls", "n").join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     apart = member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    apart = materialise(apart, "apart")
-    open_rows = materialise(member.join(small(apart), "token"), "open")
     sizes = first.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("members"))
-    placed = open_rows.join(sizes, "comp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    blocks = F.ceil(F.col("members") / BLOCK)
-    placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")), "placed")
+    placed = member.join(small(materialise(apart, "apart")), "token").join(small(materialise(sizes, "sizes")), "comp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / BLOCK)).cast("int")), "placed")
     group = placed.groupBy("token", F.col("comp").alias("g_comp"), F.col("block").alias("g_block"), F.col("members").alias("g_members")).agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
     asks = (F.col("comp") != F.col("g_comp")) & ((F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp"))))
     fits = (100 * F.col("g_hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("g_lo"))
-    meets = materialise(placed.select("token", "cls", "n", "comp", "members").join(group, "token").where(asks & fits).select("cls", "g_comp", "g_block").distinct(), "meets")
-    # A group's members are all classes of its block, those outside the prefixes' open rows too. Only a class that shares an
-    # open token can be similar without being in the asker's component, so members come from ``placed``.
+    met = placed.select("token", "cls", "n", "comp", "members").join(group, "token").where(asks & fits).groupBy("cls", "n", "g_comp", "g_block").agg(F.count(F.lit(1)).alias("c"), F.min("g_lo").alias("g_lo"))
+    meets = materialise(met.where(F.col("c") >= slack(F.least("n", "g_lo"))).select("cls", "n", "g_comp", "g_block"), "meets")
+    # members of a group without any token of ``placed`` share none with an asker, so can't be similar to it
     inside = placed.select("cls", F.col("comp").alias("g_comp"), F.col("block").alias("g_block"), F.col("n").alias("m_n")).distinct()
-    inside = materialise(inside.join(meets.select("g_comp", "g_block").distinct(), ["g_comp", "g_block"], "left_semi"), "inside")
-    lone = inside.groupBy("g_comp", "g_block").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("only"))
+    inside = materialise(inside.join(small(materialise(meets.select("g_comp", "g_block").distinct(), "groups")), ["g_comp", "g_block"], "left_semi"), "inside")
+    wanted = sets_of(meets.select("cls").union(inside.select("cls")))
+    lone = materialise(inside.groupBy("g_comp", "g_block").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("only"), F.min("m_n").alias("only_n")), "lone")
     many = lone.where("k > 1").select("g_comp", "g_block")
-    tokens = wanted.select("cls", "tokens")
-    union = inside.join(many, ["g_comp", "g_block"], "left_semi").join(tokens, "cls").select("g_comp", "g_block", F.explode("tokens").alias("t")).groupBy("g_comp", "g_block").agg(F.collect_set("t").alias("union"))
-    asked = meets.join(union, ["g_comp", "g_block"]).join(wanted, "cls")
-    passed = asked.where(100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n")).select("cls", "g_comp", "g_block")
-    opened = passed.join(inside.withColumnRenamed("cls", "b"), ["g_comp", "g_block"]).select(F.col("cls").alias("a"), "b")
-    single = meets.join(lone.where("k = 1"), ["g_comp", "g_block"]).select(F.col("cls").alias("a"), F.col("only").alias("b"))
-    ns = wanted.select(F.col("cls").alias("a"), F.col("n").alias("pa"))
-    nb = wanted.select(F.col("cls").alias("b"), F.col("n").alias("pb"))
-    to_check = opened.union(single).join(ns, "a").join(nb, "b").where(_size_bound("pa", "pb", percent)).select("a", "b")
-    cross = materialise(verified(to_check, wanted, percent), "cross")
+    union = inside.join(many, ["g_comp", "g_block"], "left_semi").join(wanted.select("cls", "tokens"), "cls").select("g_comp", "g_block", F.explode("tokens").alias("t")).groupBy("g_comp", "g_block").agg(F.collect_set("t").alias("union"))
+    asked = meets.join(many, ["g_comp", "g_block"], "left_semi").join(union, ["g_comp", "g_block"]).join(wanted.select("cls", "tokens"), "cls")
+    passed = asked.where(100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n")).select("cls", "n", "g_comp", "g_block")
+    opened = passed.join(inside.withColumnRenamed("cls", "b"), ["g_comp", "g_block"]).where(_size_bound("n", "m_n", percent)).select(F.col("cls").alias("a"), "b")
+    single = meets.join(lone.where("k = 1"), ["g_comp", "g_block"]).where(_size_bound("n", "only_n", percent)).select(F.col("cls").alias("a"), F.col("only").alias("b"))
+    cross = materialise(verified(materialise(opened.union(single).distinct(), "opened"), wanted, percent), "cross")
 
     # rows that share an id are one document
     twice = full.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("id", "a")
