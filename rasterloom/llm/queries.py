@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from . import toxicity
 from .ann import nearest
-from .bpe import encode
+from .bpe import SPLIT, encode
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard import link_components
+from .linedup import dedupe_lines
 from .pii import personal_data
+from .resample import resample
 from .secrets import secrets
+from .shards import RankEncoder, write_shards
 
 #: Folder of the public tokenizer files; not part of this repository.
 TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -29,6 +32,34 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedupe_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP2_SQL = """
+with l as (select doc_id, source, text, unnest(range(len(w))) pos, unnest(w) raw from (select *, string_split(text, chr(10)) w from documents)),
+t as (select doc_id, source, pos, raw, trim(raw, ' ') line from l),
+s as (select line, count(distinct source) n, min(doc_id) keeper from t where line <> '' group by line),
+b as (select line, keeper from s where n >= case when length(line) - length(replace(line, ' ', '')) + 1 >= 50 then 3 else 10 end),
+k as (select t.doc_id, count(*) n_lines, count(*) filter (b.line is not null and t.doc_id <> b.keeper) n_removed,
+ coalesce(string_agg(raw, chr(10) order by pos) filter (b.line is null or t.doc_id = b.keeper), '') kept
+ from t left join b on t.line = b.line group by t.doc_id)
+select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, case when d.text is null then null else sha256(kept) end text_sha256
+from documents d left join k using (doc_id)
+"""
+
+
+def op5_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resample(table(spark, sf_dir, "documents"), good).withColumnRenamed("id", "doc_id")
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = RankEncoder(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", SPLIT, end=50256)
+    return write_shards(table(spark, sf_dir, "documents"), encoder).withColumnRenamed("id", "doc_id")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -76,14 +107,14 @@ MODULES = ()
 
 
 def queries() -> dict:
-    out = {"op1_toxicity": op1_toxicity, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op7_neighbours": op7_neighbours, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
+    out = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op5_resample": op5_resample, "op6_shards": op6_shards, "op7_neighbours": op7_neighbours, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).QUERIES
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {"op8_decontamination": OP8_SQL}
+    out: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
     for name in MODULES:
         out |= importlib.import_module(f".{name}", __package__).ORACLES
     return out
