@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> f(spark, sf_dir)) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("rasterloom.plans.pixel_queries",)
 FLAGSHIP = "c1_segment_image"
 
 
