@@ -10,8 +10,9 @@ Tokens are hashes of the distinct five-word shingles of a document. The steps:
 3. Prefixes: if two sets are similar, the first n - ceil(t*n) + s tokens of each in that order share s tokens at least (s is a
    twentieth of n; of two sets, the smaller s counts). Tokens that stand in
    the prefixes of one class only are dropped, which leaves a small share of all tokens.
-4. Stars: each remaining token links its classes to the smallest one, checked exactly. The components of the links found make
-   the first groups, so that copies of one text never meet one another in pairs.
+   Classes that share too few tokens with others go, and of the rest only as many rows are kept as are needed to meet.
+4. Stars: the classes of each token against a few hubs, checked exactly; then classes against one delegate of each neighbouring
+   component. The components of the links found make the groups, so copies of one text never meet one another in pairs.
 5. Token-group matrix: a component, in blocks of at most about ``BLOCK`` classes, is a group with the union of its members'
    tokens. A class meets groups of *other* components only. The overlap of its whole set with the group's union bounds its overlap
    with any member; only groups that pass are opened, and members compared exactly.
@@ -29,14 +30,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship, small
 
-HEAVY = 200_000
+HEAVY = 500_000
 CHUNK = 4_000_000
-BLOCK = 64
+BLOCK, HUBS = 32, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -105,10 +106,11 @@ def scan(src: DataFrame, size: int, least: int = 3) -> DataFrame:
     return src.mapInArrow(run, "id bigint, n bigint, cls bigint, token bigint, c bigint")
 
 
-def heavy_tokens(scanned: DataFrame, top: int = HEAVY) -> list[tuple[int, int]]:
-    """The commonest tokens with their counts. The list is bounded by ``top``; it only orders tokens."""
+def heavy_tokens(scanned: DataFrame, top: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest tokens, ascending, and their counts. Bounded by ``top`` (16 bytes each); it only orders tokens."""
     counted = scanned.where("token is not null").groupBy("token").agg(F.sum("c").alias("c"))
-    return [(r["token"], r["c"]) for r in counted.orderBy(F.desc("c"), "token").limit(top).collect()]
+    rows = counted.orderBy(F.desc("c"), "token").limit(top).orderBy("token").toArrow()
+    return np.asarray(rows.column("token")), np.asarray(rows.column("c"))
 
 
 def slack(n):
@@ -116,11 +118,10 @@ def slack(n):
     return n // 20 + 1 if isinstance(n, int) else F.floor(n / 20) + 1
 
 
-def prefixes(src: DataFrame, size: int, heavy: list[tuple[int, int]], percent: int) -> DataFrame:
+def prefixes(src: DataFrame, size: int, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """(token, cls, n) of the prefix of each set: its first n - ceil(percent*n/100) + slack(n) tokens, rarest first. Copies
     within a slice count once."""
-    order = sorted(heavy)
-    sent = src.sparkSession.sparkContext.broadcast((np.array([t for t, _ in order], np.int64), np.array([c for _, c in order], np.int64)))
+    sent = src.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = sent.value
@@ -186,11 +187,32 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_similar(F.col("na"), F.col("nb"), both, percent)).select("a", "b")
 
 
-def _size_bound(small_n: str, large_n: str, percent: int) -> Column:
+def _size_bound(small_n, large_n, percent: int) -> Column:
     """Sets can be similar only if the smaller has at least this share of the larger."""
     return 100 * F.least(small_n, large_n) >= percent * F.greatest(small_n, large_n)
 
 
+def between(member: DataFrame) -> DataFrame:
+    """The rows of (token, cls, n, comp) whose token stands in more than one component."""
+    apart = member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return member.join(small(materialise(apart, "apart")), "token")
+
+
+def thinned(near: DataFrame, percent: int, cut: bool = True) -> DataFrame:
+    """The rows of (token, cls, n) that can still lead to a similar pair.
+
+    Similar sets share s tokens of their prefixes at least, s being slack() of the smallest size that fits. So a class with fewer rows than s
+    goes. With ``cut``, of m rows only the m - s + 1 whose tokens are rarest (now counted exactly, in prefixes) stay: enough to meet
+    in one token, so this can be done once only."""
+    least = F.floor(F.ceil(F.col("n") * percent / 100) / 20) + 1
+    freq = near.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    held = near.join(freq, "token")
+    order = Window.partitionBy("cls").orderBy("f", "token")
+    ranked = held.withColumns({"k": F.row_number().over(order), "m": F.count(F.lit(1)).over(Window.partitionBy("cls"))})
+    rest = ranked.where((F.col("m") >= least) & (F.col("k") <= F.col("m") - least + 1)) if cut else ranked.where(F.col("m") >= least)
+    return rest.select("token", "cls", "n")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for each row of ``docs`` whose id isn't null.
 
@@ -202,8 +224,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = scanned.where("id is not null").select("id", "n", "cls")
     full = keys.where("n > 0")
     prefix = materialise(prefixes(src, size, heavy_tokens(scanned), percent), "prefix")
-    shared = prefix.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where("hub <> last").select("token", "hub")
+    shared = prefix.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
     near = materialise(prefix.join(small(materialise(shared, "shared")), "token").distinct(), "near")
+    near = materialise(thinned(materialise(thinned(near, percent, cut=False), "viable"), percent), "thinned")
 
     def sets_of(classes: DataFrame) -> DataFrame:
         """(cls, n, tokens) of the classes named, made from one text each."""
@@ -211,44 +234,53 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = materialise(one.select("id").distinct(), "ids")
         return materialise(token_sets(src.join(small(ids), "id", "left_semi"), size).join(small(one), "cls", "left_semi").dropDuplicates(["cls"]), "wanted")
 
-    # stars: each class against the hub that it shares most tokens with, and the least hub. A first guess at groups, so weak
-    # pairs are left to the next step.
-    hubs = near.where("cls = hub").select("hub", F.col("n").alias("hub_n")).distinct()
-    star = near.where("cls <> hub").groupBy("cls", "hub", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("n") / 15)
-    star = star.join(hubs, "hub").where(_size_bound("n", "hub_n", percent))
-    best = star.groupBy("cls").agg(F.max(F.struct("c", -F.col("hub"))).alias("m"), F.min("hub").alias("low"))
-    pairs = materialise(best.select(F.col("cls").alias("a"), F.explode(F.array_distinct(F.array(-F.col("m.col2"), F.col("low")))).alias("b")), "guesses")
-    stars = materialise(verified(pairs, sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))), percent), "stars")
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = materialise(pairs.distinct(), label)
+        return materialise(verified(pairs, sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))), percent), f"{label}-linked")
+
+    # stars: the classes of a token against its hubs, the first ones in a few random orders; of these, each class tries the one that it
+    # shares most tokens with, order by order. A first guess at groups: pairs that share few tokens are left to the last step.
+    hubs = near.groupBy("token").agg(*(F.min(F.struct(F.xxhash64("cls", F.lit(j)).alias("o"), F.col("cls").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{j}") for j in range(HUBS)))
+    hubs = hubs.select("token", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), f"h{j}.hub", f"h{j}.hub_n") for j in range(HUBS)))).alias("h")).select("token", "h.*")
+    star = near.join(hubs, "token").where((F.col("cls") != F.col("hub")) & _size_bound("n", "hub_n", percent)).groupBy("cls", "j", "hub", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("n") / 15)
+    stars = linked(star.groupBy("cls", "j").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("cls").alias("a"), "b"), "guesses")
     first = components(stars)
 
+    # the same once more between components: each class against one member of every other component it shares tokens with
+    member = near.join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    member = materialise(between(member), "member")
+    delegate = member.groupBy("token", F.col("comp").alias("d_comp")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(HUBS)).alias("o"), F.col("cls").alias("b"), F.col("n").alias("b_n"))).alias("d")).select("token", "d_comp", "d.b", "d.b_n")
+    tried = member.join(delegate, "token").where((F.col("comp") != F.col("d_comp")) & _size_bound("n", "b_n", percent)).groupBy("cls", "comp", "n", "d_comp", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("n") / 15)
+    more = linked(tried.groupBy("cls", "d_comp").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("cls").alias("a"), "b"), "delegates")
+    links = stars.union(more)
+    first = components(links)
+
     # token-group matrix: classes against the groups of other components
-    member = near.select("token", "cls", "n").join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    apart = member.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    sizes = first.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("members"))
-    placed = member.join(small(materialise(apart, "apart")), "token").join(small(materialise(sizes, "sizes")), "comp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    member = member.drop("comp").join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    sizes = materialise(first.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("members")), "sizes")
+    placed = between(member).join(small(sizes), "comp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / BLOCK)).cast("int")), "placed")
     group = placed.groupBy("token", F.col("comp").alias("g_comp"), F.col("block").alias("g_block"), F.col("members").alias("g_members")).agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
     asks = (F.col("comp") != F.col("g_comp")) & ((F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp"))))
     fits = (100 * F.col("g_hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("g_lo"))
-    met = placed.select("token", "cls", "n", "comp", "members").join(group, "token").where(asks & fits).groupBy("cls", "n", "g_comp", "g_block").agg(F.count(F.lit(1)).alias("c"), F.min("g_lo").alias("g_lo"))
-    meets = materialise(met.where(F.col("c") >= slack(F.least("n", "g_lo"))).select("cls", "n", "g_comp", "g_block"), "meets")
+    met = placed.select("token", "cls", "n", "comp", "members").join(group, "token").where(asks & fits)
+    meets = materialise(met.select("cls", "n", "g_comp", "g_block").distinct(), "meets")
     # members of a group without any token of ``placed`` share none with an asker, so can't be similar to it
-    inside = placed.select("cls", F.col("comp").alias("g_comp"), F.col("block").alias("g_block"), F.col("n").alias("m_n")).distinct()
+    inside = placed.select("cls", F.col("comp").alias("g_comp"), F.col("block").alias("g_block")).distinct()
     inside = materialise(inside.join(small(materialise(meets.select("g_comp", "g_block").distinct(), "groups")), ["g_comp", "g_block"], "left_semi"), "inside")
     wanted = sets_of(meets.select("cls").union(inside.select("cls")))
-    lone = materialise(inside.groupBy("g_comp", "g_block").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("only"), F.min("m_n").alias("only_n")), "lone")
-    many = lone.where("k > 1").select("g_comp", "g_block")
-    union = inside.join(many, ["g_comp", "g_block"], "left_semi").join(wanted.select("cls", "tokens"), "cls").select("g_comp", "g_block", F.explode("tokens").alias("t")).groupBy("g_comp", "g_block").agg(F.collect_set("t").alias("union"))
-    asked = meets.join(many, ["g_comp", "g_block"], "left_semi").join(union, ["g_comp", "g_block"]).join(wanted.select("cls", "tokens"), "cls")
-    passed = asked.where(100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n")).select("cls", "n", "g_comp", "g_block")
-    opened = passed.join(inside.withColumnRenamed("cls", "b"), ["g_comp", "g_block"]).where(_size_bound("n", "m_n", percent)).select(F.col("cls").alias("a"), "b")
-    single = meets.join(lone.where("k = 1"), ["g_comp", "g_block"]).where(_size_bound("n", "only_n", percent)).select(F.col("cls").alias("a"), F.col("only").alias("b"))
-    cross = materialise(verified(materialise(opened.union(single).distinct(), "opened"), wanted, percent), "cross")
+    # one row for each group: its members' sets. Each asker meets it once; the union's bound decides whether members are looked at
+    rows = inside.join(wanted, "cls").groupBy("g_comp", "g_block").agg(F.collect_list(F.struct("n", "tokens")).alias("sets"))
+    rows = rows.withColumn("union", F.array_distinct(F.flatten(F.col("sets.tokens"))))
+    asked = meets.select("cls", "g_comp", "g_block").join(wanted, "cls").join(rows, ["g_comp", "g_block"])
+    passes = 100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n")
+    one = F.exists("sets", lambda m: F.when(_size_bound(F.col("n"), m["n"], percent), _similar(F.col("n"), m["n"], F.size(F.array_intersect("tokens", m["tokens"])), percent)).otherwise(F.lit(False)))
+    cross = materialise(asked.where(F.when(passes, one).otherwise(F.lit(False))).select(F.col("cls").alias("a"), F.col("g_comp").alias("b")), "cross")
 
     # rows that share an id are one document
     twice = full.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("id", "a")
     same_id = full.join(twice, "id").select("a", F.col("cls").alias("b"))
-    final = materialise(components(stars.union(cross).union(same_id)), "final")
+    final = materialise(components(links.union(cross).union(same_id)), "final")
     named = full.join(small(final.withColumnRenamed("node", "cls")), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     whole = named.join(least, "root").select("id", F.col("n").alias("n_shingles"), "component_id")
