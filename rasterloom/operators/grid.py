@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 AROUND_4 = ((-1, 0), (1, 0), (0, -1), (0, 1))
 AROUND_8 = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy)
 
@@ -19,6 +21,7 @@ AROUND_8 = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy)
 def per_image(pixels: DataFrame, size: tuple[int, int], columns: list[str], f: Callable[[dict], dict], schema: str) -> DataFrame:
     """f gets full (height, width) arrays of ``columns`` and ``valid`` (whether the pixel exists), and returns columns of rows;
     img is added. ``schema`` starts with img."""
+    ship(pixels.sparkSession)
     width, height = size
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ from ..operators.contour import silhouette
 from ..operators.grid import components, dense_rank, mode_filter, shifted, smooth
 from ..operators.merge import RegionGraph, merge_regions
 from ..operators.palette import assign_grid, kmeans
+from ..shipping import ship
 
 
 @dataclass(frozen=True)
@@ -117,6 +118,7 @@ def tier_params(tier: Params, pixels: int) -> dict:
 
 def segment_labels(pixels: DataFrame, size: tuple[int, int], tier: str = "easy", **changes) -> DataFrame:
     """(img, i, x, y, region_id, l, a, b) of each pixel of (img, i, x, y, r, g, b[, conf]): the region and its palette colour."""
+    ship(pixels.sparkSession)
     p = replace(TIERS[tier], **changes)
     width, height = size
     with_conf = "conf" in pixels.columns
@@ -146,6 +148,7 @@ def outline_pixels(pixels: DataFrame, size: tuple[int, int], line_art: bool = Fa
     subject's silhouette, feature lines, lines between regions of clearly different colour, and dark marks."""
     if line_art:
         return pixels.where("alpha > 0").select("img", "i", "x", "y", F.lit(INK).alias("ink"), "alpha")
+    ship(pixels.sparkSession)
     p, width = TIERS["outline"], size[0]
     with_conf = "conf" in pixels.columns
     lab = pixels.select("img", "x", "y", *(["conf"] if with_conf else []), lab_expr(F.col("r"), F.col("g"), F.col("b")).alias("c")).select("img", "x", "y", *(["conf"] if with_conf else []), "c.*")
