@@ -19,14 +19,15 @@ AROUND_8 = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy)
 
 
 def per_image(pixels: DataFrame, size: tuple[int, int], columns: list[str], f: Callable[[dict], dict], schema: str) -> DataFrame:
-    """f gets full (height, width) arrays of ``columns`` and ``valid`` (whether the pixel exists), and returns columns of rows;
-    img is added. ``schema`` starts with img."""
+    """f gets (rows, width) arrays of ``columns`` and ``valid`` (whether the pixel exists), down to the image's last row, and returns
+    columns of rows; img is added. ``schema`` starts with img."""
     ship(pixels.sparkSession)
-    width, height = size
+    width = size[0]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grid: dict[str, np.ndarray] = {}
         at = (pdf["y"].to_numpy(), pdf["x"].to_numpy())
+        height = int(at[0].max()) + 1
         grid["valid"] = np.zeros((height, width), bool)
         grid["valid"][at] = True
         for c in columns:

@@ -8,13 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("img", "y").orderBy("x")
-COL = Window.partitionBy("img", "x").orderBy("y")
+def row_window():
+    """Pixels of a row, from left to right."""
+    return Window.partitionBy("img", "y").orderBy("x")
+
+
+def col_window():
+    """Pixels of a column, from top to bottom."""
+    return Window.partitionBy("img", "x").orderBy("y")
 
 
 def neighbours(df: DataFrame, col: str) -> DataFrame:
     """Adds _e, _w, _s, _n: the value of the four neighbours, null outside. Pixels of a row and column must be complete."""
-    return df.withColumns({"_e": F.lead(col).over(ROW), "_w": F.lag(col).over(ROW), "_s": F.lead(col).over(COL), "_n": F.lag(col).over(COL)})
+    return df.withColumns({"_e": F.lead(col).over(row_window()), "_w": F.lag(col).over(row_window()), "_s": F.lead(col).over(col_window()), "_n": F.lag(col).over(col_window())})
 
 
 def adjacency(df: DataFrame, col: str) -> DataFrame:
@@ -74,32 +80,38 @@ def label_points(df: DataFrame, col: str) -> DataFrame:
     return best.select("img", F.col(col).alias("region_id"), F.col("m.x").alias("label_x"), F.col("m.y").alias("label_y"))
 
 
-def at_offsets(df: DataFrame, offsets: list[tuple[int, int]], size: tuple[int, int], keep: list[str]) -> DataFrame:
-    """Each pixel sent to the places (x + dx, y + dy) inside the image, as nx, ny with its ``keep`` columns and dx, dy."""
+def frames(df: DataFrame) -> DataFrame:
+    """(img, right, bottom): the last column and row of each image."""
+    return df.groupBy("img").agg(F.max("x").alias("right"), F.max("y").alias("bottom"))
+
+
+def at_offsets(df: DataFrame, offsets: list[tuple[int, int]], frame: DataFrame, keep: list[str]) -> DataFrame:
+    """Each pixel sent to the places (x + dx, y + dy) inside its image's ``frame``, as nx, ny with its ``keep`` columns and dx, dy."""
     o = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets)))
-    moved = df.select("img", "x", "y", *keep, o.alias("o")).select("img", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"), "o.dx", "o.dy", *keep)
-    return moved.where(F.col("nx").between(0, size[0] - 1) & F.col("ny").between(0, size[1] - 1))
+    moved = df.join(frame, "img").select("img", "x", "y", "right", "bottom", *keep, o.alias("o"))
+    moved = moved.select("img", "right", "bottom", (F.col("x") + F.col("o.dx")).alias("nx"), (F.col("y") + F.col("o.dy")).alias("ny"), "o.dx", "o.dy", *keep)
+    return moved.where("nx between 0 and right and ny between 0 and bottom").drop("right", "bottom")
 
 
-def dilate(mask: DataFrame, radius: int, size: tuple[int, int]) -> DataFrame:
+def dilate(mask: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
     """(img, x, y) within a disc of a set pixel of the sparse mask (img, x, y). A radius of 0 or less changes nothing."""
     if radius <= 0:
         return mask.select("img", "x", "y")
     disc = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
-    return at_offsets(mask, disc, size, []).select("img", F.col("nx").alias("x"), F.col("ny").alias("y")).distinct()
+    return at_offsets(mask, disc, frame, []).select("img", F.col("nx").alias("x"), F.col("ny").alias("y")).distinct()
 
 
 def with_local_mean(df: DataFrame, col: str, radius: int) -> DataFrame:
     """Adds mean: the average over the (2 radius + 1) squared window, cut off at the borders, by row sums and then column sums."""
-    r, c = ROW.rowsBetween(-radius, radius), COL.rowsBetween(-radius, radius)
+    r, c = row_window().rowsBetween(-radius, radius), col_window().rowsBetween(-radius, radius)
     part = df.withColumns({"_s": F.sum(col).over(r), "_k": F.count(col).over(r)})
     return part.withColumn("mean", F.sum("_s").over(c) / F.sum("_k").over(c)).drop("_s", "_k")
 
 
-def vote(df: DataFrame, col: str, radius: int, size: tuple[int, int]) -> DataFrame:
+def vote(df: DataFrame, col: str, radius: int) -> DataFrame:
     """(img, x, y, value): one majority pass; ties go to the present value, then the lowest."""
     offsets = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    cast = at_offsets(df, offsets, size, [col]).groupBy("img", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max(((F.col("dx") == 0) & (F.col("dy") == 0)).cast("int")).alias("own"))
+    cast = at_offsets(df, offsets, frames(df), [col]).groupBy("img", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max(((F.col("dx") == 0) & (F.col("dy") == 0)).cast("int")).alias("own"))
     return cast.groupBy("img", "x", "y").agg(F.max_by("v", F.struct("c", "own", -F.col("v"))).alias("value"))
 
 

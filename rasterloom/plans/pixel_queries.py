@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import EMB, EMB_SQL, ORD, ORD_SQL, PART, PART_SQL, load, r_emb, r_ord, r_part
+from ..fixtures import EMB_SQL, ORD, ORD_SQL, PART, PART_SQL, load, r_emb, r_ord, r_part
 from ..functions import color as C
 from ..operators import regions as R
 from ..operators.palette import assign, lloyd_step
@@ -91,7 +91,7 @@ def p8(s, d):
 
 @query("p9_color_distance", f"with {ORD_SQL}, {LAB_SQL} select p.img, p.i, round((p.l::double - q.l::double) ** 2 + (p.a::double - q.a::double) ** 2 + (p.bb::double - q.bb::double) ** 2, 1) d from lab p join lab q on p.img = q.img and q.i = p.i + 1 and p.y = q.y")
 def p9(s, d):
-    nxt = F.lead("lab").over(R.ROW)
+    nxt = F.lead("lab").over(R.row_window())
     return lab_pixels(s, d).withColumn("n", nxt).where("n is not null").select("img", "i", r4(C.distance_sq(F.col("lab"), F.col("n")), 1).alias("d"))
 
 
@@ -365,13 +365,13 @@ def w11(s, d):
 
 @query("w12_dilate_disc", f"with {PART_SQL}, m as (select * from prt where idx = 3) select distinct p.img, p.x, p.y from prt p join m on m.img = p.img and (m.x - p.x) ** 2 + (m.y - p.y) ** 2 <= 4")
 def w12(s, d):
-    return R.dilate(r_part(s, d).where("idx = 3"), 2, PART)
+    return R.dilate(r_part(s, d).where("idx = 3"), 2, R.frames(r_part(s, d)))
 
 
 @query("w13_erode_disc", f"with {PART_SQL} select p.img, p.i, case when exists (select 1 from prt m where m.idx = 3 and m.img = p.img and (m.x - p.x) ** 2 + (m.y - p.y) ** 2 <= 4) then 0 else 255 end conf from prt p")
 def w13(s, d):
     px = r_part(s, d)
-    gone = R.dilate(px.where("idx = 3"), 2, PART).withColumn("g", F.lit(0))
+    gone = R.dilate(px.where("idx = 3"), 2, R.frames(px)).withColumn("g", F.lit(0))
     return px.join(gone, ["img", "x", "y"], "left").select("img", "i", F.coalesce("g", F.lit(255)).alias("conf"))
 
 
@@ -385,7 +385,7 @@ def w14(s, d):
 # --- stencils -------------------------------------------------------------------------------------------------------------------
 @query("w5_mode_filter", f"with {PART_SQL}, v as (select p.img, p.i, q.idx v, count(*) c, max(case when q.i = p.i then 1 else 0 end) own from prt p join prt q on p.img = q.img and abs(p.x - q.x) <= 2 and abs(p.y - q.y) <= 2 group by all) select img, i, v as value from (select *, row_number() over (partition by img, i order by c desc, own desc, v) k from v) where k = 1")
 def w5(s, d):
-    return R.vote(r_part(s, d), "idx", 2, PART).select("img", (F.col("y") * PART[0] + F.col("x")).cast("bigint").alias("i"), "value")
+    return R.vote(r_part(s, d), "idx", 2).select("img", (F.col("y") * PART[0] + F.col("x")).cast("bigint").alias("i"), "value")
 
 
 @query("w6_local_mean_dark", f"with {ORD_SQL} select p.img, p.i, round(avg(q.r), 4) mean, p.r < avg(q.r) - 13 dark from ord p join ord q on p.img = q.img and abs(p.x - q.x) <= 4 and abs(p.y - q.y) <= 4 group by p.img, p.i, p.r")
@@ -395,13 +395,13 @@ def w6(s, d):
 
 
 BLUR_SQL = """bx as (select p.img, p.i, p.x, p.y, cast(sum(k.w * q.r) as float) v from ord p, (values (-2, 0.06136), (-1, 0.24477), (0, 0.38774), (1, 0.24477), (2, 0.06136)) k(t, w), ord q where q.img = p.img and q.y = p.y and q.x = least(124, greatest(0, p.x + k.t)) group by all),
-bl as (select p.img, p.i, p.x, p.y, cast(sum(k.w * q.v::double) as float) v from bx p, (values (-2, 0.06136), (-1, 0.24477), (0, 0.38774), (1, 0.24477), (2, 0.06136)) k(t, w), bx q where q.img = p.img and q.x = p.x and q.y = least(39, greatest(0, p.y + k.t)) group by all)"""
+bl as (select p.img, p.i, p.x, p.y, cast(sum(k.w * q.v::double) as float) v from bx p, (values (-2, 0.06136), (-1, 0.24477), (0, 0.38774), (1, 0.24477), (2, 0.06136)) k(t, w), bx q, (select img, max(y) my from ord group by img) h where h.img = p.img and q.img = p.img and q.x = p.x and q.y = least(my, greatest(0, p.y + k.t)) group by all)"""
 
 
 def blurred(px: DataFrame, col: str) -> DataFrame:
     """Adds v, the separable five-tap blur of ``col``; borders are repeated."""
     taps = (0.06136, 0.24477, 0.38774, 0.24477, 0.06136)
-    for w, src in ((R.ROW, col), (R.COL, "v")):
+    for w, src in ((R.row_window(), col), (R.col_window(), "v")):
         full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         first, last = F.first(src).over(full), F.last(src).over(full)
         near = [F.coalesce(F.lag(src, 2).over(w), first), F.coalesce(F.lag(src, 1).over(w), first), F.col(src), F.coalesce(F.lead(src, 1).over(w), last), F.coalesce(F.lead(src, 2).over(w), last)]
@@ -415,17 +415,17 @@ def w7(s, d):
 
 
 SOBEL_SQL = """sb as (select c.img, c.i, c.x, c.y,
- case when c.x in (0, 124) or c.y in (0, 39) then 0 else sum(case when n.x - c.x <> 0 then (n.x - c.x) * (case when n.y = c.y then 2 else 1 end) * n.r else 0 end) end gx,
- case when c.x in (0, 124) or c.y in (0, 39) then 0 else sum(case when n.y - c.y <> 0 then (n.y - c.y) * (case when n.x = c.x then 2 else 1 end) * n.r else 0 end) end gy
- from ord c join ord n on n.img = c.img and abs(n.x - c.x) <= 1 and abs(n.y - c.y) <= 1 group by c.img, c.i, c.x, c.y),
+ case when c.x in (0, 124) or c.y in (0, my) then 0 else sum(case when n.x - c.x <> 0 then (n.x - c.x) * (case when n.y = c.y then 2 else 1 end) * n.r else 0 end) end gx,
+ case when c.x in (0, 124) or c.y in (0, my) then 0 else sum(case when n.y - c.y <> 0 then (n.y - c.y) * (case when n.x = c.x then 2 else 1 end) * n.r else 0 end) end gy
+ from ord c join (select img, max(y) my from ord group by img) h on h.img = c.img join ord n on n.img = c.img and abs(n.x - c.x) <= 1 and abs(n.y - c.y) <= 1 group by c.img, c.i, c.x, c.y, my),
 mg as (select *, gx * gx + gy * gy m2, case when gx = 0 and gy = 0 then 0 else ((cast(floor(atan2(gy, gx) / pi() * 4 + 0.5) as int) % 4) + 4) % 4 end dir from sb)"""
 
 
 def sobel(px: DataFrame, col: str = "r") -> DataFrame:
     """Adds gx, gy (integers for integer input), m2 = gx^2 + gy^2 and dir 0-3; 0 on the border of the image."""
-    px = px.withColumns({"_l": F.lag(col).over(R.ROW), "_r": F.lead(col).over(R.ROW)})
-    px = px.withColumns({f"_{n}{k}": f(c).over(R.COL) for n, f in (("u", F.lag), ("d", F.lead)) for k, c in (("l", "_l"), ("c", col), ("r", "_r"))})
-    inner = F.col("x").between(1, ORD[0] - 2) & F.col("y").between(1, ORD[1] - 2) & F.col("_dc").isNotNull()
+    px = px.withColumns({"_l": F.lag(col).over(R.row_window()), "_r": F.lead(col).over(R.row_window())})
+    px = px.withColumns({f"_{n}{k}": f(c).over(R.col_window()) for n, f in (("u", F.lag), ("d", F.lead)) for k, c in (("l", "_l"), ("c", col), ("r", "_r"))})
+    inner = F.col("x").between(1, ORD[0] - 2) & F.col("_uc").isNotNull() & F.col("_dc").isNotNull()
     c = lambda n: F.col(n)
     gx = -c("_ul") + c("_ur") - 2 * c("_l") + 2 * c("_r") - c("_dl") + c("_dr")
     gy = -c("_ul") - 2 * c("_uc") - c("_ur") + c("_dl") + 2 * c("_dc") + c("_dr")
@@ -435,12 +435,12 @@ def sobel(px: DataFrame, col: str = "r") -> DataFrame:
     return px.withColumns({"m2": F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"), "dir": way})
 
 
-@query("w8_sobel", f"with {ORD_SQL}, {SOBEL_SQL} select img, i, cast(gx as bigint) gx, cast(gy as bigint) gy, round(sqrt(m2::double), 3) mag, dir from mg where i < 4875")
+@query("w8_sobel", f"with {ORD_SQL}, {SOBEL_SQL} select img, i, cast(gx as bigint) gx, cast(gy as bigint) gy, round(sqrt(m2::double), 3) mag, dir from mg")
 def w8(s, d):
-    return sobel(r_ord(s, d)).where("i < 4875").select("img", "i", F.col("gx").cast("bigint").alias("gx"), F.col("gy").cast("bigint").alias("gy"), F.round(F.sqrt(F.col("m2").cast("double")), 3).alias("mag"), "dir")
+    return sobel(r_ord(s, d)).select("img", "i", F.col("gx").cast("bigint").alias("gx"), F.col("gy").cast("bigint").alias("gy"), F.round(F.sqrt(F.col("m2").cast("double")), 3).alias("mag"), "dir")
 
 
-@query("w9_thin_edges", f"with {ORD_SQL}, {SOBEL_SQL} select c.img, c.i from mg c join mg a on a.img = c.img and a.x = c.x - (case c.dir when 2 then 0 else 1 end) and a.y = c.y - (case c.dir when 0 then 0 when 1 then -1 else 1 end) join mg b on b.img = c.img and b.x = c.x + (case c.dir when 2 then 0 else 1 end) and b.y = c.y + (case c.dir when 0 then 0 when 1 then -1 else 1 end) where c.m2 > 0 and c.m2 >= a.m2 and c.m2 >= b.m2 and c.x between 1 and 123 and c.y between 1 and 38")
+@query("w9_thin_edges", f"with {ORD_SQL}, {SOBEL_SQL} select c.img, c.i from mg c join mg a on a.img = c.img and a.x = c.x - (case c.dir when 2 then 0 else 1 end) and a.y = c.y - (case c.dir when 0 then 0 when 1 then -1 else 1 end) join mg b on b.img = c.img and b.x = c.x + (case c.dir when 2 then 0 else 1 end) and b.y = c.y + (case c.dir when 0 then 0 when 1 then -1 else 1 end) where c.m2 > 0 and c.m2 >= a.m2 and c.m2 >= b.m2")
 def w9(s, d):
     m = sobel(r_ord(s, d)).select("img", "i", "x", "y", "m2", "dir")
     dx, dy = F.when(F.col("dir") == 2, 0).otherwise(1), F.when(F.col("dir") == 0, 0).when(F.col("dir") == 1, -1).otherwise(1)

@@ -8,14 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import slugify
 from ..shipping import ship
 
 PIXELS = "slug string, i bigint, x int, y int, r int, g int, b int"
 IMAGE_NAMES = r"(?i)\.(jpg|jpeg|png|webp|ppm|pgm)$"
-PUZZLE = T.StructType.fromDDL(
+PUZZLE = (
     "id string, name string, difficulty string, width int, height int, labelMap struct<width:int,height:int,runs:array<int>>, "
     "regions array<struct<id:int,colorNumber:int,labelX:int,labelY:int,areaPx:bigint>>, palette map<string,string>, source string, "
     "thumbnail string, outline string, outlineWidth int, outlineHeight int"
