@@ -8,13 +8,13 @@ Tokens are hashes of the distinct five-word shingles of a document. The steps:
 2. A total order of tokens, rarest first: tokens met often within a batch of texts come last (the ``HEAVY`` commonest of
    them are told apart by their counts). Only speed depends on how well this follows true frequency.
 3. Prefixes: if two sets are similar, the first n - ceil(t*n) + s tokens of each in that order share s tokens at least (s is a
-   twentieth of n; of two sets, the smaller s counts). Tokens that stand in
+   tenth of n; of two sets, the smaller s counts). Tokens that stand in
    the prefixes of one class only are dropped, which leaves a small share of all tokens.
    Classes that share too few tokens with others go, and of the rest only as many rows are kept as are needed to meet.
-4. Stars: the classes of each token against a few hubs, checked exactly; then classes against one delegate of each neighbouring
-   component. The components of the links found make the groups, so copies of one text never meet one another in pairs.
-5. Token-group matrix: a component, in blocks of at most about ``BLOCK`` classes, is a group with the union of its members'
-   tokens. A class meets groups of *other* components only. The overlap of its whole set with the group's union bounds its overlap
+4. Stars: the classes of each token against a few hubs, checked exactly. The components of the links found make the groups, so copies of
+   one text never meet one another in pairs.
+5. Token-group matrix: components, and classes without links that share their commonest token, are groups, in blocks of about
+   ``BLOCK`` classes, with the union of their members' tokens. A class meets groups of *other* components only. The overlap of its whole set with the group's union bounds its overlap
    with any member; only groups that pass are opened, and members compared exactly.
 6. Components of all links.
 
@@ -37,7 +37,7 @@ from .common import materialise, ship, small
 
 HEAVY = 500_000
 CHUNK = 4_000_000
-BLOCK, HUBS = 32, 4
+BLOCK, HUBS = 32, 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -82,11 +82,14 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
 
-def scan(src: DataFrame, size: int, least: int = 3) -> DataFrame:
-    """A row (id, n, cls) for each document, and rows (token, c) for tokens that ``least`` of about ``CHUNK`` tokens share."""
+def scan(src: DataFrame, size: int) -> DataFrame:
+    """A row (id, n, cls) for each document, and rows (token, c) for tokens that documents of a chunk share: three of them in a
+    chunk of about ``CHUNK`` tokens, two in a much smaller one."""
 
     def often(chunk: list[np.ndarray]) -> pa.RecordBatch:
-        tok, c = np.unique(np.concatenate(chunk), return_counts=True)
+        flat = np.concatenate(chunk)
+        tok, c = np.unique(flat, return_counts=True)
+        least = 3 if len(flat) > CHUNK // 8 else 2
         keep, none = c >= least, pa.nulls(int((c >= least).sum()), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, pa.array(tok[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["id", "n", "cls", "token", "c"])
 
@@ -115,7 +118,7 @@ def heavy_tokens(scanned: DataFrame, top: int = HEAVY) -> tuple[np.ndarray, np.n
 
 def slack(n):
     """How many tokens the prefixes of two similar sets share at least: the smaller set's count, as prefixes are longer by it."""
-    return n // 20 + 1 if isinstance(n, int) else F.floor(n / 20) + 1
+    return n // 10 + 1
 
 
 def prefixes(src: DataFrame, size: int, heavy: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
@@ -138,7 +141,7 @@ def prefixes(src: DataFrame, size: int, heavy: tuple[np.ndarray, np.ndarray], pe
                 weight = np.where(common[at] == flat, count[at], 0)
             by = np.lexsort((weight, doc))  # within a document by weight; equal weights stay in the order of the hashes
             place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            take = by[place < np.repeat(n - (percent * n + 99) // 100 + n // 20 + 1, n)]
+            take = by[place < np.repeat(n - (percent * n + 99) // 100 + slack(n), n)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(np.array(list(once), np.int64)[doc[take]]), pa.array(n[doc[take]].astype(np.int32))], ["token", "cls", "n"])
 
     return src.mapInArrow(run, "token bigint, cls bigint, n int")
@@ -204,7 +207,7 @@ def thinned(near: DataFrame, percent: int, cut: bool = True) -> DataFrame:
     Similar sets share s tokens of their prefixes at least, s being slack() of the smallest size that fits. So a class with fewer rows than s
     goes. With ``cut``, of m rows only the m - s + 1 whose tokens are rarest (now counted exactly, in prefixes) stay: enough to meet
     in one token, so this can be done once only."""
-    least = F.floor(F.ceil(F.col("n") * percent / 100) / 20) + 1
+    least = F.floor(F.ceil(F.col("n") * percent / 100) / 10) + 1
     freq = near.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     held = near.join(freq, "token")
     order = Window.partitionBy("cls").orderBy("f", "token")
@@ -225,7 +228,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = keys.where("n > 0")
     prefix = materialise(prefixes(src, size, heavy_tokens(scanned), percent), "prefix")
     shared = prefix.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    near = materialise(prefix.join(small(materialise(shared, "shared")), "token").distinct(), "near")
+    near = materialise(prefix.join(materialise(shared, "shared"), "token").distinct(), "near")
     near = materialise(thinned(materialise(thinned(near, percent, cut=False), "viable"), percent), "thinned")
 
     def sets_of(classes: DataFrame) -> DataFrame:
@@ -243,39 +246,43 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = near.groupBy("token").agg(*(F.min(F.struct(F.xxhash64("cls", F.lit(j)).alias("o"), F.col("cls").alias("hub"), F.col("n").alias("hub_n"))).alias(f"h{j}") for j in range(HUBS)))
     hubs = hubs.select("token", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), f"h{j}.hub", f"h{j}.hub_n") for j in range(HUBS)))).alias("h")).select("token", "h.*")
     star = near.join(hubs, "token").where((F.col("cls") != F.col("hub")) & _size_bound("n", "hub_n", percent)).groupBy("cls", "j", "hub", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("n") / 15)
-    stars = linked(star.groupBy("cls", "j").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("cls").alias("a"), "b"), "guesses")
-    first = components(stars)
-
-    # the same once more between components: each class against one member of every other component it shares tokens with
-    member = near.join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    member = materialise(between(member), "member")
-    delegate = member.groupBy("token", F.col("comp").alias("d_comp")).agg(F.min(F.struct(F.xxhash64("cls", F.lit(HUBS)).alias("o"), F.col("cls").alias("b"), F.col("n").alias("b_n"))).alias("d")).select("token", "d_comp", "d.b", "d.b_n")
-    tried = member.join(delegate, "token").where((F.col("comp") != F.col("d_comp")) & _size_bound("n", "b_n", percent)).groupBy("cls", "comp", "n", "d_comp", "b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("n") / 15)
-    more = linked(tried.groupBy("cls", "d_comp").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("cls").alias("a"), "b"), "delegates")
-    links = stars.union(more)
+    links = linked(star.groupBy("cls", "j").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("cls").alias("a"), "b"), "guesses")
     first = components(links)
 
     # token-group matrix: classes against the groups of other components
-    member = member.drop("comp").join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    member = near.join(small(first.withColumnRenamed("node", "cls")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     sizes = materialise(first.groupBy(F.col("root").alias("comp")).agg(F.count(F.lit(1)).alias("members")), "sizes")
-    placed = between(member).join(small(sizes), "comp", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / BLOCK)).cast("int")), "placed")
-    group = placed.groupBy("token", F.col("comp").alias("g_comp"), F.col("block").alias("g_block"), F.col("members").alias("g_members")).agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi"))
-    asks = (F.col("comp") != F.col("g_comp")) & ((F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp"))))
+    placed = materialise(between(member).join(small(sizes), "comp", "left").withColumn("members", F.coalesce("members", F.lit(1))), "placed")
+    # every class has one group: a block of its component or, without links yet, of the classes with the same commonest token
+    freq = placed.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    lead = placed.where("members = 1").join(freq, "token").groupBy("cls").agg(F.max(F.struct("f", "token")).alias("m")).select("cls", F.col("m.token").alias("g_key"))
+    lead = materialise(lead, "lead")
+    bucket = lead.groupBy("g_key").agg(F.count(F.lit(1)).alias("members"))
+    alone = lead.join(bucket, "g_key").select("cls", F.lit(True).alias("mixed"), "g_key", "members")
+    tied = placed.where("members > 1").select("cls", F.lit(False).alias("mixed"), F.col("comp").alias("g_key"), "members").distinct()
+    home = alone.union(tied).withColumn("g_block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / BLOCK)).cast("int")).drop("members")
+    home = materialise(home, "home")
+    key = ["mixed", "g_key", "g_block"]
+    own = placed.select("token", "cls", "n", "comp").join(small(home), "cls")
+    group = own.groupBy("token", *key).agg(F.min("n").alias("g_lo"), F.max("n").alias("g_hi")).select("token", F.struct(*key).alias("g"), "g_lo", "g_hi")
+    asker = own.select("token", "cls", "n", F.struct(*key).alias("own"))
+    # of two groups, the members of the one ask the other; within a mixed group, all ask
+    asks = (F.col("own") < F.col("g")) | ((F.col("own") == F.col("g")) & F.col("g.mixed"))
+    asks = asks & ~((F.col("own.mixed") == F.col("g.mixed")) & ~F.col("g.mixed") & (F.col("own.g_key") == F.col("g.g_key")))
     fits = (100 * F.col("g_hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("g_lo"))
-    met = placed.select("token", "cls", "n", "comp", "members").join(group, "token").where(asks & fits)
-    meets = materialise(met.select("cls", "n", "g_comp", "g_block").distinct(), "meets")
+    meets = materialise(asker.join(group, "token").where(asks & fits).select("cls", "g.*").distinct(), "meets")
     # members of a group without any token of ``placed`` share none with an asker, so can't be similar to it
-    inside = placed.select("cls", F.col("comp").alias("g_comp"), F.col("block").alias("g_block")).distinct()
-    inside = materialise(inside.join(small(materialise(meets.select("g_comp", "g_block").distinct(), "groups")), ["g_comp", "g_block"], "left_semi"), "inside")
+    inside = materialise(home.join(small(materialise(meets.select(*key).distinct(), "groups")), key, "left_semi"), "inside")
     wanted = sets_of(meets.select("cls").union(inside.select("cls")))
     # one row for each group: its members' sets. Each asker meets it once; the union's bound decides whether members are looked at
-    rows = inside.join(wanted, "cls").groupBy("g_comp", "g_block").agg(F.collect_list(F.struct("n", "tokens")).alias("sets"))
+    rows = inside.join(wanted, "cls").groupBy(*key).agg(F.collect_list(F.struct("cls", "n", "tokens")).alias("sets"))
     rows = rows.withColumn("union", F.array_distinct(F.flatten(F.col("sets.tokens"))))
-    asked = meets.select("cls", "g_comp", "g_block").join(wanted, "cls").join(rows, ["g_comp", "g_block"])
+    asked = meets.join(wanted, "cls").join(rows, key)
     passes = 100 * F.size(F.array_intersect("tokens", "union")) >= percent * F.col("n")
-    one = F.exists("sets", lambda m: F.when(_size_bound(F.col("n"), m["n"], percent), _similar(F.col("n"), m["n"], F.size(F.array_intersect("tokens", m["tokens"])), percent)).otherwise(F.lit(False)))
-    cross = materialise(asked.where(F.when(passes, one).otherwise(F.lit(False))).select(F.col("cls").alias("a"), F.col("g_comp").alias("b")), "cross")
+    alike = lambda m: F.when((m["cls"] != F.col("cls")) & _size_bound(F.col("n"), m["n"], percent), _similar(F.col("n"), m["n"], F.size(F.array_intersect("tokens", m["tokens"])), percent)).otherwise(F.lit(False))
+    found = F.transform(F.filter("sets", alike), lambda m: m["cls"])
+    cross = asked.where(passes).select(F.col("cls").alias("a"), F.explode(F.when(F.col("mixed"), found).otherwise(F.slice(found, 1, 1))).alias("b"))
+    cross = materialise(cross, "cross")
 
     # rows that share an id are one document
     twice = full.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("id", "a")
