@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "materialise", "row_key", "scratch_dir", "ship", "small", "table"]
+
 #: A side is broadcast only if its counted rows stay at or below this many (rows of a few dozen bytes: tens of MB).
 BROADCAST_ROWS = 400_000
 
@@ -57,20 +59,3 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the faster of two equal ways."""
     plain = F.octet_length(text) == F.length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the executors' Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="rasterloom-")) / "rasterloom_src.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
