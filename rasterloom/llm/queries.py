@@ -57,7 +57,7 @@ def op5_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = RankEncoder(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", SPLIT, end=50256)
-    return write_shards(table(spark, sf_dir, "documents"), encoder).withColumnRenamed("id", "doc_id")
+    return write_shards(table(spark, sf_dir, "documents"), encoder, strict=False).withColumnRenamed("id", "doc_id")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Training-order materialisation: token sequences in a keyed pseudo-random order, as fixed-stride binary shards.
 
 Documents are encoded and cut into sequences of ``length`` tokens, the last one of each filled up with the end token. The
-sequences are numbered from 0 by document id (counts per range of ids, then running sums), and a keyed Feistel network
+sequences are numbered from 0 by document id, and by hash and length of the text where ids repeat or are null (counts per range of
+these keys, then running sums); equal rows get numbers one after the other. A keyed Feistel network
 with cycle-walking permutes the numbers: the result is the sequence's slot in the training order. It needs no table, no sort of
 random keys and no global shuffle file, and each slot can be computed alone.
 
@@ -69,53 +70,84 @@ class RankEncoder:
         return [np.array(self._made.encode_ordinary(t), f"<u{self.width}") for t in texts]
 
 
+#: Names a distinct row of ``_source``; h and chars are never null.
+KEY = ("id", "h", "chars")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.coalesce(F.length(text), F.lit(-1)).alias("chars"), text.alias("text"))
+
+
+def _unclear(rows: DataFrame) -> DataFrame:
+    """The ids that don't name one row: null, or repeated."""
+    return rows.groupBy("id").agg(F.sum("copies").alias("rows")).where("id is null or rows > 1").select("id")
+
+
 def _sequences(tokens: int, length: int) -> int:
     return -(-(tokens + 1) // length)
 
 
-def numbered(docs: DataFrame, encoder: RankEncoder, length: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(id, first) for each document, and the number of all sequences. Ids that are null or repeated are an error: their order
-    would be open."""
+def numbered(docs: DataFrame, encoder: RankEncoder, length: int, id_col: str = "doc_id", text_col: str = "text", strict: bool = True) -> tuple[DataFrame, int]:
+    """(id, h, chars, copies, n, first) for each distinct row, and the number of all sequences: h and chars are hash and length of the text,
+    ``copies`` rows of ``n`` sequences each are numbered from ``first``. Nulls come first. If ``strict``, ids that are null or repeated
+    are an error."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(encoder)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = _source(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 n = [_sequences(len(t), length) for t in sent.value([t or "" for t in b.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64())], ["id", "n"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.array(n, pa.int64())], [*KEY, "n"])
 
-    counts = materialise(src.mapInArrow(run, "id bigint, n bigint"), "sequence-counts")
-    if counts.where("id is null").limit(1).count() or counts.groupBy("id").count().where("count > 1").limit(1).count():
-        raise ValueError("document ids must be unique and not null")
+    counts = materialise(src.mapInArrow(run, "id bigint, h bigint, chars int, n bigint"), "sequence-counts")
+    rows = counts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialise(counts.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ranges")
-    sums = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row for each range
+    ranged = materialise(rows.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()), "ranges")
+    if strict and _unclear(ranged).limit(1).count():
+        raise ValueError("document ids must be unique and not null")
+    every = F.col("copies") * F.col("n")
+    sums = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum(every).alias("n")).collect()}  # one row for each range
     start, total = {}, 0
     for p in sorted(sums):
         start[p], total = total, total + sums[p]
     offsets = docs.sparkSession.createDataFrame(list(start.items()) or [(0, 0)], "part int, offset bigint")
-    before = F.sum("n").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return ranged.withColumn("before", before).join(F.broadcast(offsets), "part").select("id", (F.col("offset") + F.col("before")).alias("first")), total
+    before = F.sum(every).over(Window.partitionBy("part").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)) - every
+    return ranged.withColumn("before", before).join(F.broadcast(offsets), "part").select(*KEY, "copies", "n", (F.col("offset") + F.col("before")).alias("first")), total
 
 
-def write_shards(docs: DataFrame, encoder: RankEncoder, folder: str | None = None, length: int = 256, per_shard: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, encoder: RankEncoder, folder: str | None = None, length: int = 256, per_shard: int = 8192, key: int = 1, id_col: str = "doc_id", text_col: str = "text", strict: bool = True) -> DataFrame:
     """Writes shards ``shard-<number>.bin`` to ``folder`` (a new one in the shared folder if None) when the result is evaluated, and
     returns a row for each sequence: slot, shard, place (in the shard), id, seq_no, n_tokens, without the end token, and sha256
     of the sequence's bytes.
 
-    Null texts count as empty: one sequence of end tokens. Repeated or null ids raise ValueError; an empty table writes nothing. Extra
-    columns are ignored."""
+    Null texts count as empty: one sequence of end tokens. Repeated or null ids raise ValueError, or, if ``strict`` is False, every row gets
+    slots of its own; equal rows then give rows alike in all but slot, shard and place. An empty table writes nothing. Extra columns are
+    ignored."""
     spark = docs.sparkSession
-    order, total = numbered(docs, encoder, length, id_col, text_col)
+    order, total = numbered(docs, encoder, length, id_col, text_col, strict)
     folder = folder or f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
     schema = "slot bigint, shard bigint, place bigint, id bigint, seq_no bigint, n_tokens bigint, sha256 string"
     if not total:
         return spark.createDataFrame([], schema)
     sent, width = spark.sparkContext.broadcast(encoder), encoder.width
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small(materialise(order, "order")), "id")
+    src, order = _source(docs, id_col, text_col), materialise(order, "order")
+    unclear = None if strict else materialise(_unclear(order), "unclear-ids")
+    if unclear is None or not unclear.limit(1).count():
+        src = src.select("id", "text").join(small(order.select("id", "first")), "id")
+    else:
+        # an id that names one row is enough to find it; the others are found by the whole key, equal rows once, and repeated from there
+        same = F.col("o.id").eqNullSafe(F.col("u.id"))
+        alone = order.alias("o").join(small(unclear).alias("u"), same, "left_anti").select("id", "first")
+        others = materialise(order.alias("o").join(small(unclear).alias("u"), same, "left_semi"), "unclear-rows").alias("o")
+        found = F.col("s.id").eqNullSafe(F.col("o.id")) & (F.col("s.h") == F.col("o.h")) & (F.col("s.chars") == F.col("o.chars"))
+        one = src.alias("s").join(small(others), found).select(*(f"s.{c}" for c in (*KEY, "text")), "copies", "n", "first").dropDuplicates(KEY)
+        each = one.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        spread = each.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *KEY, "copy")
+        src = src.select("id", "text").join(small(materialise(alone, "alone")), "id").union(spread.select("id", "text", F.col("first") + F.col("copy") * F.col("n")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
