@@ -7,7 +7,8 @@ boundary, to further lists (those within ``1 + near`` of the least distance, unl
 
 Search: a query's lists are those that the graph search finds within ``1 + ratio`` of its least centroid distance. Lists
 and their queries are dealt out in blocks of bounded size, so a list that holds a third of all vectors is spread over many tasks. Each
-block keeps its k nearest, in exact double precision; a window takes the k nearest of those.
+block keeps its k nearest, in exact double precision; a window takes the k nearest of those. Queries whose lists hold fewer than k
+others (a vector that has a list to itself, or shares it with a few copies) are searched again over as many of the next lists as hold k.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship, small
 
-SAMPLE, LIST, MAX_LISTS, VECTORS_A_BLOCK, QUERIES_A_BLOCK = 20_000, 256, 4096, 4096, 1024
+SAMPLE, LIST, MAX_LISTS, VECTORS_A_BLOCK, QUERIES_A_BLOCK, COPIES = 20_000, 256, 4096, 4096, 1024, 4
 
 
 @dataclass
@@ -114,7 +115,7 @@ def fit(vectors: DataFrame, seed: int = 7) -> CentroidGraph | None:
     return CentroidGraph.fit(x, max(1, min(MAX_LISTS, math.ceil(n / LIST), len(x))), seed=seed)
 
 
-def postings(vectors: DataFrame, graph: CentroidGraph, near: float = 0.1, copies: int = 4, breadth: int = 16) -> DataFrame:
+def postings(vectors: DataFrame, graph: CentroidGraph, near: float = 0.1, copies: int = COPIES, breadth: int = 16) -> DataFrame:
     """(list, vec_id, v): every vector in its nearest list, and in further ones near a boundary."""
     ship(vectors.sparkSession)
     sent = vectors.sparkSession.sparkContext.broadcast(graph)
@@ -157,20 +158,31 @@ def probes(queries: DataFrame, graph: CentroidGraph, ratio: float, breadth: int)
     return queries.mapInArrow(run, "list int, vec_id bigint, v array<double>")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = 0.15, breadth: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest found for each query, itself excepted: (query_id, rank from 1, vec_id, score = Euclidean distance).
+def wider(queries: DataFrame, graph: CentroidGraph, ratio: float, sizes: np.ndarray, vectors: int) -> DataFrame:
+    """(list, vec_id, v): the lists of a query, by exact distance, up to that at which they hold ``vectors`` different vectors for certain (as
+    a vector is in ``COPIES`` lists at most), and those within 1 + ratio of that distance; all lists if they hold fewer."""
+    ship(queries.sparkSession)
+    sent = queries.sparkSession.sparkContext.broadcast((graph, sizes))
 
-    ``queries`` are rows of the same shape as ``vectors``. See ``usable`` for rows that take no part; repeated vectors under other ids
-    are candidates like any other, and ties go to the smaller id. Tables without usable rows give no result."""
-    spark = vectors.sparkSession
-    base = materialise(usable(vectors, id_col, vector_col), "vectors")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, held = sent.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):
+                b = whole.slice(s, 512)
+                d = np.sqrt(_sq(_matrix(b.column("v")), g.centroids))
+                order = np.argsort(d, axis=1, kind="stable")
+                last = np.minimum((np.cumsum(held[order], axis=1) < COPIES * vectors).sum(axis=1), d.shape[1] - 1)
+                ranks = np.argsort(order, axis=1)
+                reach = np.take_along_axis(d, np.take_along_axis(order, last[:, None], axis=1), axis=1)
+                rows, lists = np.nonzero(((ranks <= last[:, None]) | (d <= (1 + ratio) * reach)) & (held > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b.column("vec_id").take(pa.array(rows)), b.column("v").take(pa.array(rows))], ["list", "vec_id", "v"])
+
+    return queries.mapInArrow(run, "list int, vec_id bigint, v array<double>")
+
+
+def _search(lists: DataFrame, looked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest in the lists that each query looks into."""
     schema = "query_id bigint, vec_id bigint, score double"
-    graph = fit(base)
-    if graph is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    asked = base.join(queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    lists = materialise(postings(base, graph), "postings")
-    looked = materialise(probes(asked, graph, ratio, breadth), "probes")
     # blocks: so many of each list's vectors and queries meet in one task
     parts = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTORS_A_BLOCK).cast("int").alias("vb"))
     asks = looked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_A_BLOCK).cast("int").alias("qb"))
@@ -195,8 +207,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float =
         cols = [np.concatenate(o) if o else np.empty(0, t) for o, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table(cols, names=["query_id", "vec_id", "score"])
 
-    ship(spark)
+    ship(lists.sparkSession)
     near = left.groupBy("list", "b", "q").cogroup(right.groupBy("list", "b", "q")).applyInArrow(compare, schema)
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ratio: float = 0.15, breadth: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k nearest found for each query, itself excepted: (query_id, rank from 1, vec_id, score = Euclidean distance). There are
+    fewer than k only if the table has fewer other usable rows.
+
+    ``queries`` are rows of the same shape as ``vectors``. See ``usable`` for rows that take no part; repeated vectors under other ids
+    are candidates like any other, and ties go to the smaller id. Tables without usable rows give no result."""
+    spark = vectors.sparkSession
+    base = materialise(usable(vectors, id_col, vector_col), "vectors")
+    graph = fit(base)
+    if graph is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    asked = base.join(queries.select(F.col(id_col).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    lists = materialise(postings(base, graph), "postings")
+    found = materialise(_search(lists, materialise(probes(asked, graph, ratio, breadth), "probes"), k), "found")
+    want = min(k, base.count() - 1)
+    full = found.groupBy("query_id").count().where(F.col("count") >= want).select(F.col("query_id").alias("vec_id"))
+    short = materialise(asked.join(full, "vec_id", "left_anti"), "short") if want else None
+    if short is None or not short.limit(1).count():
+        return found
+    sizes = np.zeros(len(graph.centroids), np.int64)
+    for r in lists.groupBy("list").count().collect():  # MAX_LISTS rows at most
+        sizes[r["list"]] = r["count"]
+    more = _search(lists, materialise(wider(short, graph, ratio, sizes, want + 1), "more-probes"), k)
+    kept = found.join(small(short.select(F.col("vec_id").alias("query_id"))), "query_id", "left_anti")
+    return kept.select(*more.columns).union(more)

@@ -2,7 +2,9 @@
 
 import collections
 
-from rasterloom.llm import bpe, shards
+import numpy as np
+
+from rasterloom.llm import ann, bpe, shards
 from rasterloom.llm import queries as Q
 
 
@@ -24,3 +26,24 @@ def test_shards_of_repeated_rows_and_null_ids(spark, tmp_path):
     assert got == want
     again = shards.write_shards(docs.repartition(7), enc, folder, length=16, per_shard=4, strict=False).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_neighbours_of_outliers_and_few_copies(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(700, 4)), np.tile([500.0, 0, 0, 0], (5, 1)), [[0.0, 900, 0, 0]], [[0.0, 0, -900, 0]]])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    # a list for each far group and one for the rest, as a random start may leave them
+    graph = ann.CentroidGraph(np.array([[0.0, 0, 0, 0], x[700], x[705], x[706]]), np.array([[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]), np.array([0]))
+    fit, ann.fit = ann.fit, lambda _: graph
+    try:
+        got = collections.defaultdict(list)
+        for r in ann.nearest(v, v.where("vec_id >= 695")).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r["rank"], r.vec_id))
+        assert ann.nearest(v.where("vec_id >= 700"), v.where("vec_id = 705")).count() == 6
+        assert ann.nearest(v.where("vec_id = 705"), v).count() == 0
+    finally:
+        ann.fit = fit
+    for q in range(695, 707):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[q] == [(n, i) for n, i in enumerate(np.lexsort((np.arange(len(x)), d))[:10].tolist(), 1)]
