@@ -104,7 +104,7 @@ def s3(s, d):
 
 @query("s13_data_url", "select page_id, 'data:image/png;base64,' || base64(encode(substr(url, 1, 40))) url from pages")
 def s13(s, d):
-    return load(s, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode(F.substring("url", 1, 40), "utf-8")), r"\s", "")).alias("url"))
+    return load(s, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode("url", "utf-8")), r"\s", "")).alias("url"))
 
 
 @query("s14_contact_sheet", "select p_partkey, p_partkey % 8 % 4 * 480 as left_, cast(floor(p_partkey % 8 / 4.0) as bigint) * 320 as top_ from part")
