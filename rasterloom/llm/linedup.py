@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, row_key, small
 
-SITES, LONG_SITES, LONG_WORDS, BAND, LG_K = 10, 3, 50, 0.2, 12
+SITES, LONG_SITES, LONG_WORDS, BAND, LG_K = 10, 2, 50, 0.2, 12
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:

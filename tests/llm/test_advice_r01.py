@@ -4,7 +4,8 @@ import collections
 
 import numpy as np
 
-from rasterloom.llm import ann, bpe, shards
+import corpus_pipeline
+from rasterloom.llm import ann, bpe, linedup, shards
 from rasterloom.llm import queries as Q
 
 
@@ -47,3 +48,12 @@ def test_neighbours_of_outliers_and_few_copies(spark):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         assert got[q] == [(n, i) for n, i in enumerate(np.lexsort((np.arange(len(x)), d))[:10].tolist(), 1)]
+
+
+def test_long_lines_of_two_sites(spark, data):
+    long, own = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(i, f"{long}\nx{i}" if i < 8 else f"{own}\nx{i}", "en", "ab"[i % 2] if i < 8 else "a", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: f"x{i}" if 0 < i < 8 else t for i, t, *_ in rows}  # one site only: stays
+    assert {r.doc_id: r.text for r in linedup.dedupe_lines(docs).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, data).collect()} == want
