@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "materialise", "row_key", "scratch_dir", "ship", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "fresh", "materialise", "row_key", "scratch_dir", "ship", "slices", "small", "table"]
 
 #: A side is broadcast only if its counted rows stay at or below this many (rows of a few dozen bytes: tens of MB).
 BROADCAST_ROWS = 400_000
@@ -43,6 +47,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, in order, that hold about ``size`` bytes of a text column each, one row at least: what a task holds as
+    Python objects at a time then depends neither on the batch's rows nor on their lengths, but for a single longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 16)
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +18,8 @@ from .resample import resample
 from .secrets import secrets
 from .shards import RankEncoder, write_shards
 
-#: Folder of the public tokenizer files; not part of this repository.
-TOKENIZERS = os.environ.get("RASTERLOOM_TOKENIZERS", "/opt/tokenizers")
-TOKENIZER_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The public tokenizer files that the queries use; not part of this repository.
+TOKENIZER_FILE, RANK_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +38,7 @@ OP2_SQL = """
 with l as (select doc_id, source, text, unnest(range(len(w))) pos, unnest(w) raw from (select *, string_split(text, chr(10)) w from documents)),
 t as (select doc_id, source, pos, raw, trim(raw, ' ') line from l),
 s as (select line, count(distinct source) n, min(doc_id) keeper from t where line <> '' group by line),
-b as (select line, keeper from s where n >= case when length(line) - length(replace(line, ' ', '')) + 1 >= 50 then 3 else 10 end),
+b as (select line, keeper from s where n >= case when length(line) - length(replace(line, ' ', '')) + 1 >= 50 then 2 else 10 end),
 k as (select t.doc_id, count(*) n_lines, count(*) filter (b.line is not null and t.doc_id <> b.keeper) n_removed,
  coalesce(string_agg(raw, chr(10) order by pos) filter (b.line is null or t.doc_id = b.keeper), '') kept
  from t left join b on t.line = b.line group by t.doc_id)
@@ -56,7 +53,7 @@ def op5_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoder = RankEncoder(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", SPLIT, end=50256)
+    encoder = RankEncoder(RANK_FILE, SPLIT, end=50256)
     return write_shards(table(spark, sf_dir, "documents"), encoder, strict=False).withColumnRenamed("id", "doc_id")
 
 
@@ -102,19 +99,9 @@ from d left join nh using (doc_id) left join it using (doc_id)
 """
 
 
-#: Modules of this subpackage with QUERIES and ORACLES of their own.
-MODULES = ()
-
-
 def queries() -> dict:
-    out = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op5_resample": op5_resample, "op6_shards": op6_shards, "op7_neighbours": op7_neighbours, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
-    for name in MODULES:
-        out |= importlib.import_module(f".{name}", __package__).QUERIES
-    return out
+    return {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_jaccard": op3_jaccard, "op4_bpe": op4_bpe, "op5_resample": op5_resample, "op6_shards": op6_shards, "op7_neighbours": op7_neighbours, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
-    for name in MODULES:
-        out |= importlib.import_module(f".{name}", __package__).ORACLES
-    return out
+    return {"op2_line_dedup": OP2_SQL, "op8_decontamination": OP8_SQL}
