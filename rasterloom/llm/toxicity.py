@@ -5,9 +5,10 @@ Four small transducers read the symbols of a clause: insults and threats (emit t
 the clause). ``compose`` multiplies them into one machine, so a clause is scored in one pass by table look-ups. A
 document's score is a logistic of the sum over its clauses.
 
-The lexicon is learned from labelled rows: word beginnings and whole words that mark toxic rows, over a sample of at
-most about ``max_rows`` labelled rows (the bound of everything that the driver and the broadcast hold; rows are taken
-by a hash of the id, and near copies count once). Words that no label shows can be given as seeds.
+The lexicon is learned from labelled rows: word beginnings and whole words that mark toxic rows, each with its log likelihood
+ratio as weight, over a sample of at most about ``max_rows`` labelled rows (``training_rows``; taken by a hash of the id, and near
+copies count once). That sample bounds what the driver and the broadcast hold; all entries that pass the tests enter. Words that no
+label shows can be given as seeds; they weigh 1.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import fresh, materialise, ship, slices
 
 # Seed words of the grammar.
 INSULTS = "idiot moron stupid pathetic worthless scum loser disgusting imbecile dumbass retard bastard imbécile crétin connard salaud dummkopf arschloch vollidiot estúpido idiota imbécil cabrón".split()
@@ -35,6 +36,8 @@ REPORTS = "said says say wrote writes claimed quoted quote called according repo
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 MIN_PREFIX, MAX_PREFIX = 3, 8
+#: So many nats of evidence weigh as much as a seed word.
+UNIT = 5.0
 OTHER = "o"
 
 
@@ -134,7 +137,7 @@ def _features(text: str) -> set[str]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds a hash that near copies mostly share: the least checksum of three words in a row."""
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, "text")):
         sig = []
         for t in b.column("text").to_pylist():
             w = t.split()
@@ -144,7 +147,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with a feature by label, added up over a batch. The feature '' counts rows."""
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, "text")):
         c: tuple[Counter, Counter] = (Counter(), Counter())
         for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             c[y].update(_features(t))
@@ -153,29 +156,33 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64())], ["f", "t", "c"])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, min_share: float = 0.004, impurity: float = 0.02, evidence: float = 15.0) -> Model:
-    """A model from labelled rows. Null texts and null labels are ignored; with no toxic rows the seeds alone are used.
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", min_share: float = 0.004, impurity: float = 0.02, evidence: float = 15.0) -> Model:
+    """A model from labelled rows (few enough for the driver to hold what they teach; see ``training_rows``). Null texts and labels other
+    than 0 and 1 are ignored; with no toxic rows the seeds alone are used. Repeated rows and near copies with one label count once. Order
+    and partitioning of the rows have no influence; equally good beginnings go by length, then alphabet. Other columns are ignored.
 
-    A beginning or word enters the lexicon if it marks at least ``min_share`` of the toxic rows, at most ``impurity`` of
+    A beginning or word enters the lexicon if it marks at least ``min_share`` of the toxic rows (and three), at most ``impurity`` of
     its rows are clean, and its log likelihood ratio against chance is at least ``evidence`` (nats; 15 leaves about one
-    chance hit among three million beginnings)."""
+    chance hit among three million beginnings). Its weight is the log of how much commoner it is in toxic than in clean rows, in ``UNIT``s."""
     ship(labelled.sparkSession)
     rows = labelled.select(labelled[text_col].alias("text"), labelled[label_col].cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
-    signed = rows.mapInArrow(_signed, "text string, toxic int, sig bigint").dropDuplicates(["toxic", "sig"])
-    counts = signed.mapInArrow(_counted, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    good = counts.where((F.col("f") == "") | ((F.col("t") >= 3) & (F.col("c") <= impurity * (F.col("t") + F.col("c"))))).orderBy(F.desc("t"), "f").limit(max_rows).collect()
-    total = next(((r["t"], r["c"]) for r in good if r["f"] == ""), (0, 0))
-    least = max(3, min_share * total[0])
+    signed = rows.mapInArrow(_signed, "text string, toxic int, sig bigint").groupBy("toxic", "sig").agg(F.min("text").alias("text")).select("text", "toxic")
+    counts = materialise(signed.mapInArrow(_counted, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "features")
+    head = counts.where("f = ''").first()
+    total = (head["t"], head["c"]) if head else (0, 0)
+    base, n = total[0] / max(1, sum(total)), F.col("t") + F.col("c")
+    good = []
+    if total[0]:
+        gain = F.col("t") * F.log(F.col("t") / n / base) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / max(1 - base, 1e-9))).otherwise(0.0)
+        good = counts.where((F.col("f") != "") & (F.col("t") >= max(3, min_share * total[0])) & (F.col("c") <= impurity * n)).where(gain >= evidence).collect()
     prefixes: dict[str, float] = {}
     words = dict.fromkeys(INSULTS, 1.0)
-    for r in sorted((r for r in good if r["f"] and r["t"] >= least), key=lambda r: (len(r["f"].lstrip("=")), r["f"])):
-        f, n, base = r["f"], r["t"] + r["c"], total[0] / max(1, sum(total))
-        if r["t"] * math.log(r["t"] / n / base) + (r["c"] * math.log(r["c"] / n / max(1 - base, 1e-9)) if r["c"] else 0) < evidence:
-            continue
+    for r in sorted(good, key=lambda r: (len(r["f"].lstrip("=")), r["f"])):
+        f, weight = r["f"], math.log((r["t"] + 0.5) * (total[1] + 1) / ((r["c"] + 0.5) * (total[0] + 1))) / UNIT
         if f[0] == "=":
-            words[f[1:]] = 1.0
+            words[f[1:]] = weight
         elif not any(f[:k] in prefixes for k in range(MIN_PREFIX, len(f))):
-            prefixes[f] = 1.0
+            prefixes[f] = weight
     model = Model(prefixes, words)
     # the logistic: over the few distinct sums of clause scores in the sample
     bins = score(signed.select("text", "toxic"), model, keep=("toxic",), raw=True).groupBy("toxic", F.round("raw", 1).alias("raw")).count().collect()
@@ -199,28 +206,36 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", m
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), raw: bool = False) -> DataFrame:
-    """``keep`` and the score (0 to 1) of each whole text; ``raw=True`` gives the sum of clause scores instead, as
-    ``raw``. Null texts count as empty. Row by row, without a shuffle; the model is bounded by ``fit``."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), raw: bool = False, name: str | None = None) -> DataFrame:
+    """``keep`` and the score (0 to 1) of each whole text, however long, as ``name`` (default: score); ``raw=True`` gives the sum of
+    clause scores instead (default name: raw). ``keep`` must not hold ``name``; other columns are ignored.
+
+    Null texts count as empty and score like a text without any word of the lexicon. Row by row, without a shuffle: repeated rows and null
+    ids pass through, an empty table gives no rows. The model is bounded by ``fit``."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*(docs[c] for c in keep), docs[text_col].alias("__text"))
-    name = "raw" if raw else "score"
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), f"{name} double"])
+    name = name or ("raw" if raw else "score")
+    if name in keep:
+        raise ValueError(f"a column {name} is kept already")
+    text = text_col if text_col in keep else fresh("text", keep)
+    src = docs.select(*(docs[c] for c in keep), *([] if text_col in keep else [docs[text_col].alias(text)]))
+    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.raw if raw else sent.value.score
-        for b in batches:
-            values = [f(t or "") for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(values, pa.float64())], [*keep, name])
+        for whole in batches:
+            for b in slices(whole, text):
+                values = [f(t or "") for t in b.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(values, pa.float64())], [*keep, name])
 
     return src.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Texts and labels to fit on: of the ids whose checksum modulo 5 isn't 0, about ``max_rows`` at most, taken by a hash of
-    the id. The sampled labels are bounded, so they are broadcast and the texts are not shuffled."""
+    the id; an id with several labels has the greatest. The sampled labels are bounded by ``max_rows``, so they are broadcast and the texts
+    are not shuffled."""
     own = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     n = own.count()
-    sample = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, max_rows / max(n, 1)) * 1_000_000)).dropDuplicates(["doc_id"]).limit(2 * max_rows)
+    sample = own.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, max_rows / max(n, 1)) * 1_000_000)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
