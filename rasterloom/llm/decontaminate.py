@@ -6,7 +6,8 @@ prefix; the positional bound (the window must fit around that word) and the leng
 compared word by word.
 
 Only words of the benchmark are ever counted or joined. The prefix side is broadcast if its counted rows stay within
-``BROADCAST_ROWS``; beyond, both sides are shuffled by word, and each document word carries its surroundings.
+``BROADCAST_ROWS``; beyond, both sides are shuffled by word: of the documents only words that are some window's prefix, each with its
+surroundings (such words are rare by choice; they are told by a broadcast of the distinct ones, if these are few enough).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, materialise, row_key
+from .common import BROADCAST_ROWS, ascii_lower, materialise, row_key, small
 
 #: Runs of characters that are no word character: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,9 +45,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
     doc_words = docs.select(row_key(id_col, F.col(text_col)).alias("key"), words_of(F.col(text_col)).alias("w"))
     vocab = windows.select(F.explode("window").alias("word")).distinct()
     few = windows.limit(broadcast_rows + 1).count() <= broadcast_rows
-    hint = F.broadcast if few else (lambda d: d)
+    vocab = small(materialise(vocab, "vocabulary"), broadcast_rows)
     # rarity: how often the corpus holds each benchmark word
-    seen = doc_words.select(F.explode("w").alias("word")).join(hint(vocab), "word").groupBy("word").count()
+    seen = doc_words.select(F.explode("w").alias("word")).join(vocab, "word").groupBy("word").count()
     freq = materialise(seen, "word-frequency")
     placed = windows.select("window", "items", F.posexplode("window").alias("at", "word")).join(freq, "word", "left")
     rank = F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "at")
@@ -59,6 +60,10 @@ def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
         fits = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.size("w"))
     else:
         known = doc_words.select("key", "w", F.posexplode("w").alias("pos", "word"))
+        prefix = materialise(prefix, "prefixes")
+        used = prefix.select("word").distinct()
+        if used.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            known = known.join(F.broadcast(used), "word", "left_semi")
         first = F.greatest(F.col("pos") - size + 1, F.lit(0))
         near = known.select("key", "pos", "word", first.alias("first"), F.slice("w", first + 1, 2 * size - 1).alias("w"))
         pairs = near.join(prefix, "word")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, small
+from .common import fresh, materialise, row_key, small
 
 SITES, LONG_SITES, LONG_WORDS, BAND, LG_K = 10, 2, 50, 0.2, 12
 
@@ -51,18 +51,21 @@ def without(lines: Column, places: Column) -> Column:
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, long_sites: int = LONG_SITES, long_words: int = LONG_WORDS) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and two more columns, _n_lines and _n_removed.
+    """``docs`` with boilerplate lines taken out of the text, and two more columns at the end, _n_lines and _n_removed (with more underscores
+    if ``docs`` has columns of these names).
 
     The document with the smallest id keeps the line. Null texts stay null with 0 lines; empty lines are never removed; a text
-    whose every line goes becomes ''. Repeated rows are treated alike. All columns of ``docs`` are returned; it must not have
-    columns named _n_lines or _n_removed."""
+    whose every line goes becomes ''. Long texts and long lines are taken whole. Repeated rows, also under a null id, are treated alike: all of them
+    keep or lose a line; of equal least ids (or none) all rows keep it. Rows without a site count for no site but lose lines like others. An
+    empty table gives no rows. All columns of ``docs`` are returned."""
     bad = boilerplate(docs, id_col, text_col, site_col, sites, long_sites, long_words)
     hits = _lines(docs, id_col, text_col, site_col).join(small(bad), "h").where(~F.col("id").eqNullSafe(F.col("keeper")))
     per = hits.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     p = per.select(F.col("key.id").alias("p_id"), F.col("key.h").alias("p_h"), F.col("key.n").alias("p_n"), "places").alias("p")
-    d = docs.withColumn("_k", row_key(id_col, F.col(text_col))).alias("d")
-    both = d.join(p, F.col("d._k.id").eqNullSafe(F.col("p.p_id")) & (F.col("d._k.h") == F.col("p.p_h")) & F.col("d._k.n").eqNullSafe(F.col("p.p_n")), "left")
+    k = fresh("_k", docs.columns)
+    d = docs.withColumn(k, row_key(id_col, F.col(text_col))).alias("d")
+    both = d.join(p, F.col(f"d.{k}.id").eqNullSafe(F.col("p.p_id")) & (F.col(f"d.{k}.h") == F.col("p.p_h")) & F.col(f"d.{k}.n").eqNullSafe(F.col("p.p_n")), "left")
     lines = F.split(F.col(f"d.{text_col}"), "\n")
     text = F.when(F.col("p.places").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(without(lines, F.col("p.places")), "\n"))
     cols = [text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
-    return both.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size("p.places"), F.lit(0)).cast("long").alias("_n_removed"))
+    return both.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(fresh("_n_lines", docs.columns)), F.coalesce(F.size("p.places"), F.lit(0)).cast("long").alias(fresh("_n_removed", docs.columns)))
