@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import toxicity
 from rasterloom.llm.bpe import encode
-from rasterloom.llm.common import materialise, small, table
+from rasterloom.llm.common import fresh, materialise, small, table
 from rasterloom.llm.decontaminate import decontaminate
 from rasterloom.llm.jaccard import link_components
 from rasterloom.llm.linedup import dedupe_lines
@@ -20,23 +20,27 @@ from rasterloom.llm.queries import TOKENIZER_FILE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar scores below 0.5. Null texts are kept."""
+    """Documents that the toxicity grammar scores below 0.5, row by row: repeated rows share their fate, null and empty texts are kept, long ones
+    scored whole. An empty table gives no rows. All columns are kept, whatever their names."""
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    name = fresh("score", docs.columns)
+    return toxicity.score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate lines; n_chars follows. Documents of which nothing is left go; those that had no text
-    before stay."""
+    before stay. Repeated rows are treated alike; see ``dedupe_lines`` for null ids and sites. An empty table gives no rows."""
     out = dedupe_lines(docs)
-    left = out.where((F.col("_n_removed") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
-    fresh = {"n_chars": F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return left.withColumns(fresh).select(*docs.columns)
+    removed = F.col(out.columns[-1])
+    left = out.where((removed == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: that with the smallest id. Rows with a null id are kept; of rows that
-    repeat an id, one stays."""
+    repeat an id, one stays (an arbitrary one, if they differ). Null and empty texts are like nothing, so they stay. An empty table gives no rows."""
     groups = materialise(link_components(docs).groupBy("id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "components")
     gone = groups.where("c <> id").select(F.col("id").alias("doc_id"))
     left = docs.join(small(gone), "doc_id", "left_anti")
@@ -47,7 +51,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Rows that share an id go together; rows without an id are judged by their texts. Null and
+    empty texts stay; an empty table gives no rows."""
     hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
     hit = materialise(hit, "contaminated")
     nulls = hit.where("doc_id is null").limit(1).count() > 0
@@ -60,7 +65,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    """Token ids of each document row, with digests of the ids and of the text decoded from them. Null texts count as empty and have no
+    ids; repeated rows and null ids pass through; long texts are encoded whole. Of the other columns only lang and source are kept."""
     return encode(docs, TOKENIZER_FILE, keep=("doc_id", "lang", "source"), outputs=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
