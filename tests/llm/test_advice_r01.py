@@ -13,7 +13,7 @@ def test_shards_of_repeated_rows_and_null_ids(spark, tmp_path):
     rows = [(0, "one two"), (0, "one two"), (0, "other " * 50), (1, "b"), (None, "no id"), (None, "no id"), (None, None), (None, ""), (2, None), (2, None), (2, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert Q.op6_shards(spark, str(tmp_path)).count() == len(rows)
-    enc = shards.RankEncoder(f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken", bpe.SPLIT, end=50256)
+    enc = shards.RankEncoder(Q.RANK_FILE, bpe.SPLIT, end=50256)
     folder = f"file://{tmp_path}/out"
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     out = shards.write_shards(docs, enc, folder, length=16, per_shard=4, strict=False).collect()
