@@ -25,7 +25,6 @@ skew join. Pairs that are already known to be connected are never compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,45 +35,90 @@ from pyspark.sql import functions as F
 from .common import materialise, ship, small
 
 HEAVY = 500_000
-CHUNK = 4_000_000
+CHUNK, SLICE = 1_000_000, 1 << 18
 BLOCK, HUBS = 32, 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-@lru_cache(maxsize=400_000)
-def _word(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
 
 
+#: White space of the word rule, and a random number for each byte: none for white space, and that of a-z for A-Z.
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.where(_SPACE, np.uint64(0), np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64))
+_BYTE[65:91] = _BYTE[97:123]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts, one after the other, and the number of words of each. ``data``: their UTF-8 bytes; text i has
+    those from offsets[i] to offsets[i + 1]. A word's hash is a polynomial in its bytes' numbers, mixed."""
+    m = len(offsets) - 1
+    space = _SPACE[data]
+    begins = ~space
+    edge = offsets[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    keep = begins[edge]
+    begins[1:] &= space[:-1]
+    begins[edge] = keep  # a text's first byte begins a word whatever stands before it
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return np.empty(0, np.uint64), np.zeros(m, np.int64)
+    data = data[first[0] :]
+    start = first - first[0]
+    size = np.diff(start, append=len(data))  # with the white space that follows, which adds nothing
+    place = np.arange(len(data)) - np.repeat(start, size)
+    power = np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    return _mix(np.add.reduceat(_BYTE[data] * power[place], start)), np.bincount(np.searchsorted(offsets, first, "right") - 1, minlength=m)
+
+
+def _shingles(h: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after the other, and their numbers. ``h``, ``n``: what ``_words`` gives. A text of
+    fewer than ``size`` words has one shingle, all of them."""
+    first = np.cumsum(n) - n
+    made = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    at = np.cumsum(made) - made
+    out = np.empty(int(made.sum()), np.uint64)
+    owner = np.repeat(np.arange(len(n)), made)
+    begin = first[owner] + np.arange(len(out)) - at[owner]
+    for k in {size, *n[(n > 0) & (n < size)].tolist()}:
+        rows = np.flatnonzero((n == k if k < size else n >= k)[owner])
+        s = np.full(len(rows), k, np.uint64)
+        for i in range(k):
+            s = _mix(s) + h[begin[rows] + i]
+        out[rows] = _mix(s)
+    for i in np.flatnonzero(made > 1):
+        out[at[i] : at[i] + made[i]].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[fresh], np.bincount(owner[fresh], minlength=len(n))
+
+
 def _tokens(text: str, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text; A-Z lower-cased, words split at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word, words), np.uint64, n)
-    k = min(size, n)
-    s = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        s = _mix(s) + h[i : n - k + 1 + i]
-    s = _mix(s)
-    s.sort()
-    return s[np.concatenate(([True], s[1:] != s[:-1]))]
-
-
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
-    """Slices of the batches, the token set of each row, and 63 bits of a digest of that set: its class."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return _shingles(*_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), size)[0]
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``SLICE`` bytes of text (one text at least), the token sets of their rows one after the other, the sets'
+    sizes, and 63 bits of a digest of each set: its class."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            b = whole.slice(at, 1024)
-            sets = [_tokens(t or "", size) for t in b.column("text").to_pylist()]
-            yield b, sets, [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets]
+        column = whole.column("text").cast(pa.large_binary()).fill_null(b"")
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            flat, n = _shingles(*_words(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]), size)
+            stop = np.cumsum(n)
+            cls = np.array([xxhash.xxh3_64_intdigest(flat[e - k : e]) >> 1 for e, k in zip(stop.tolist(), n.tolist(), strict=True)], np.int64)
+            yield whole.slice(at, to - at), flat, n, cls
+            at = to
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,24 +130,28 @@ def scan(src: DataFrame, size: int) -> DataFrame:
     """A row (id, n, cls) for each document, and rows (token, c) for tokens that documents of a chunk share: three of them in a
     chunk of about ``CHUNK`` tokens, two in a much smaller one."""
 
+    names, none = ["id", "n", "cls", "token", "c"], lambda k: pa.nulls(k, pa.int64())
+
     def often(chunk: list[np.ndarray]) -> pa.RecordBatch:
         flat = np.concatenate(chunk)
-        tok, c = np.unique(flat, return_counts=True)
+        flat.sort()
         least = 3 if len(flat) > CHUNK // 8 else 2
-        keep, none = c >= least, pa.nulls(int((c >= least).sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tok[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["id", "n", "cls", "token", "c"])
+        at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        c = np.diff(np.append(at, len(flat)))
+        tok, c = flat[at[c >= least]], c[c >= least]
+        return pa.RecordBatch.from_arrays([none(len(c)), none(len(c)), none(len(c)), pa.array(tok.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
-        for b, sets, cls in _sets(batches, size):
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), none, none], ["id", "n", "cls", "token", "c"])
-            chunk += sets
-            held += sum(map(len, sets))
-            if held >= CHUNK:
-                yield often(chunk)
-                chunk, held = [], 0
-        if chunk:
+        for b, flat, n, cls in _sets(batches, size):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(cls), none(len(n)), none(len(n))], names)
+            for i in range(0, len(flat), CHUNK):  # a long text is more than one chunk
+                chunk.append(flat[i : i + CHUNK])
+                held += len(chunk[-1])
+                if held >= CHUNK:
+                    yield often(chunk)
+                    chunk, held = [], 0
+        if held:
             yield often(chunk)
 
     return src.mapInArrow(run, "id bigint, n bigint, cls bigint, token bigint, c bigint")
@@ -128,21 +176,39 @@ def prefixes(src: DataFrame, size: int, heavy: tuple[np.ndarray, np.ndarray], pe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, count = sent.value
-        for _, sets, cls in _sets(batches, size):
-            once = {c: s for c, s in zip(cls, sets, strict=True) if len(s)}
-            if not once:
+        # which stretches of the hash range hold a common token: most tokens are told from those without a search
+        stretch = np.zeros(1 << 22, bool)
+        stretch[common.view(np.uint64) >> np.uint64(42)] = True
+        for _, flat, n, cls in _sets(batches, size):
+            end = np.cumsum(n)
+            one = np.zeros(len(n), bool)  # the first row of each class that isn't empty
+            one[np.unique(cls, return_index=True)[1]] = True
+            one &= n > 0
+            flat, n, cls = flat[np.repeat(one, n)], n[one], cls[one]
+            if not len(n):
                 continue
-            n = np.array([len(s) for s in once.values()])
-            flat = np.concatenate(list(once.values())).view(np.int64)
-            doc = np.repeat(np.arange(len(n)), n)
+            end = np.cumsum(n)
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            limit = n - (percent * n + 99) // 100 + slack(n)
             weight = np.zeros(len(flat), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                weight = np.where(common[at] == flat, count[at], 0)
-            by = np.lexsort((weight, doc))  # within a document by weight; equal weights stay in the order of the hashes
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            take = by[place < np.repeat(n - (percent * n + 99) // 100 + slack(n), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[take]), pa.array(np.array(list(once), np.int64)[doc[take]]), pa.array(n[doc[take]].astype(np.int32))], ["token", "cls", "n"])
+            some = np.flatnonzero(stretch[flat >> np.uint64(42)])
+            if len(some):
+                tok = flat[some].view(np.int64)
+                at = np.minimum(np.searchsorted(common, tok), len(common) - 1)
+                weight[some] = np.where(common[at] == tok, count[at], 0)
+            # by weight, then hash: those without weight first, as they stand; the others sorted where there is room for them
+            light = weight == 0
+            run_of = np.cumsum(light)
+            before = np.where(end > n, run_of[end - n - 1], 0)
+            take = light & (run_of - np.repeat(before, n) <= np.repeat(limit, n))
+            room = limit - (run_of[end - 1] - before)
+            rest = np.flatnonzero(~light & np.repeat(room > 0, n))
+            rest = rest[np.lexsort((weight[rest], doc[rest]))]
+            each = np.bincount(doc[rest], minlength=len(n))
+            place = np.arange(len(rest)) - np.repeat(np.cumsum(each) - each, each)
+            take[rest[place < room[doc[rest]]]] = True
+            owner = doc[take]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[take].view(np.int64)), pa.array(cls[owner]), pa.array(n[owner].astype(np.int32))], ["token", "cls", "n"])
 
     return src.mapInArrow(run, "token bigint, cls bigint, n int")
 
@@ -151,9 +217,9 @@ def token_sets(src: DataFrame, size: int) -> DataFrame:
     """(cls, n, tokens as longs) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets, cls in _sets(batches, size):
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], ["cls", "n", "tokens"])
+        for _, flat, n, cls in _sets(batches, size):
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n, pa.int64()), lists], ["cls", "n", "tokens"])
 
     return src.mapInArrow(run, "cls bigint, n bigint, tokens array<bigint>")
 
