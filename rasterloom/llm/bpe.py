@@ -6,8 +6,8 @@ the node at which this token begins. A child's last token is the longest vocabul
 the last token of the node where it begins (two tokens may follow one another if BPE leaves their joined bytes as just
 these two). Prefixes shared by many words are thus encoded once, and a word's ids are read by following the states back.
 
-The vocabulary (a file of fixed size, ``VOCAB_BOUND`` entries at most) is broadcast; the memory of words
-known to a worker is a cache of at most ``cache_words`` entries and has no influence on results.
+The vocabulary (a file of fixed size, ``VOCAB_BOUND`` entries at most) is broadcast. A task holds the words of about a megabyte of text (or of one
+longer text) at a time.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, slices
 
 VOCAB_BOUND = 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 300_000
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same split in the faster standard engine, right for texts without the characters of ODD.
 PLAIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -66,23 +67,23 @@ class Vocabulary:
 
 
 class TrieEncoder:
-    """Encodes distinct words by the trie; ``known`` maps a word to its ids as little-endian unsigned 32-bit integers."""
+    """Encodes distinct words by the trie; ``known`` maps a word to its ids as little-endian unsigned 32-bit integers. ``known`` and
+    ``follows`` are caches of at most about ``CACHE_WORDS`` and ``CACHE_PAIRS`` entries, some 50 MB together, and have no influence on results."""
 
-    def __init__(self, vocab: Vocabulary, cache_words: int = 700_000):
-        self.v, self.cache_words = vocab, cache_words
+    def __init__(self, vocab: Vocabulary):
+        self.v = vocab
         self.known: dict[str, bytes] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
         size = max(vocab.bytes_of) + 1
         self.table = [vocab.bytes_of.get(i, b"") for i in range(size)]
 
-    def may_follow(self, a: bytes, b: bytes) -> bool:
-        """Whether BPE leaves a + b as the two tokens a, b."""
-        key = (a, b)
-        if (known := self.follows.get(key)) is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            known = self.follows[key] = self.merge(a + b) == [a, b]
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether BPE leaves the joined bytes of the tokens a and b as these two."""
+        if len(self.follows) >= CACHE_PAIRS:
+            self.follows.clear()
+        x, y = self.table[a], self.table[b]
+        known = self.follows[a << 20 | b] = self.merge(x + y) == [x, y]
         return known
 
     def merge(self, word: bytes) -> list[bytes]:
@@ -98,8 +99,8 @@ class TrieEncoder:
     def learn(self, words: set[str]) -> None:
         """Insert words in a trie and walk it depth first. Sorted order is that walk: the stack of states holds
         the path of the previous word, cut back to what the next one shares with it."""
-        ids, longest, follows, may_follow = self.v.ids, self.v.longest, self.follows, self.may_follow
-        last: list[bytes] = [b""]  # last[d]: last token of the encoding of the first d bytes of the path
+        token, longest, follows, may_follow, table = self.v.ids.get, self.v.longest, self.follows, self.may_follow, self.table
+        last = [-1]  # last[d]: last token of the encoding of the first d bytes of the path
         path = b""
         for w in sorted(x.encode("utf-8", "surrogatepass") for x in words):
             n, d = len(w), 0
@@ -109,9 +110,14 @@ class TrieEncoder:
             del last[d + 1 :]
             for e in range(d + 1, n + 1):
                 for s in range(max(0, e - longest), e):
-                    t = w[s:e]
-                    if t in ids and (s == 0 or follows.get((last[s], t)) or may_follow(last[s], t)):
-                        if s or e < 3 or self.whole(t):
+                    t = token(w[s:e])
+                    if t is not None:
+                        if s:
+                            fit = follows.get(last[s] << 20 | t)
+                            if may_follow(last[s], t) if fit is None else fit:
+                                last.append(t)
+                                break
+                        elif e < 3 or self.whole(t):
                             last.append(t)
                             break
                 else:
@@ -119,38 +125,31 @@ class TrieEncoder:
             path = w
             out, e = [], n
             while e:
-                out.append(ids[last[e]])
-                e -= len(last[e])
+                out.append(last[e])
+                e -= len(table[last[e]])
             out.reverse()
             self.known[w.decode("utf-8", "surrogatepass")] = np.array(out, "<u4").tobytes()
 
-    def whole(self, t: bytes) -> bool:
-        """Whether the merges lead to t from its bytes at all."""
-        key = (t, b"")
+    def whole(self, t: int) -> bool:
+        """Whether the merges lead to a token from its bytes at all."""
+        key = -1 - t
         if (known := self.follows.get(key)) is None:
-            known = self.follows[key] = self.merge(t) == [t]
+            known = self.follows[key] = self.merge(self.table[t]) == [self.table[t]]
         return known
 
     def pieces(self, text: str) -> list[str]:
         return (FULL if ODD.search(text) else PLAIN).findall(text)
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
-        if len(known) > self.cache_words:
+        block = [self.parts(t) for t in texts]  # the words of all texts given make one trie
+        words = {w for doc in block for part in doc if isinstance(part, list) for w in part}
+        if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        for i in range(0, len(texts), 512):  # the words of so many texts make one trie
-            block = [self.parts(t) for t in texts[i : i + 512]]
-            words = set()
-            for doc in block:
-                for part in doc:
-                    if isinstance(part, list):
-                        words.update(part)
-            self.learn({w for w in words if w not in known})
-            for doc in block:
-                yield b"".join(b"".join(map(known.__getitem__, p)) if isinstance(p, list) else p for p in doc)
-            if len(known) > 1.5 * self.cache_words:
-                known.clear()
+        self.learn({w for w in words if w not in known})
+        for doc in block:
+            yield b"".join(b"".join(map(known.__getitem__, p)) if isinstance(p, list) else p for p in doc)
 
     def parts(self, text: str) -> list:
         """Lists of words, and the ids of special strings between them."""
@@ -198,8 +197,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, sent.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for batch in slices(whole, "__text"):
                 texts = [t or "" for t in batch.column("__text").to_pylist()]
                 got: dict[str, list] = {c: [] for c in outputs}
                 for ids in enc.encode_batch(texts):

@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship, small
+from .common import materialise, ship, slices, small
 
 BUCKETS, PAGE = 1 << 16, 4096
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=100_000)
 def _word(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w)
 
@@ -48,8 +48,7 @@ def models(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, buckets), np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for b in slices(whole, "text"):
                 sets = [features(t, buckets) for t in b.column("text").to_pylist()]
                 good = np.repeat(np.asarray(b.column("good").to_pylist(), bool), [len(s) for s in sets])
                 flat = np.concatenate(sets)
@@ -77,7 +76,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, seed: int = 1, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = sent.value
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             sets = [features(t, len(r)) for t in b.column("text").to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
             w = np.array([r[s].sum() for s in sets])
