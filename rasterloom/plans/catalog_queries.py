@@ -102,7 +102,7 @@ def s3(s, d):
     return load(s, d, "part").select("p_partkey", F.floor(F.col("p_size") * 40 * k + 0.5).alias("w"), F.floor(900 * k + 0.5).alias("h"))
 
 
-@query("s13_data_url", "select page_id, 'data:image/png;base64,' || base64(encode(substr(url, 1, 40))) url from pages")
+@query("s13_data_url", "select page_id, 'data:image/png;base64,' || base64(encode(url)) url from pages")
 def s13(s, d):
     return load(s, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode("url", "utf-8")), r"\s", "")).alias("url"))
 

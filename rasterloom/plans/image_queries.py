@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ORD, ORD_SQL, PART, r_ord, r_part
 from ..functions import color as C
-from ..operators import contour, edges, grid
+from ..operators import contour, edges, grid, marks
 from ..operators import regions as R
 from ..operators.merge import RegionGraph, merge_regions
 from ..operators.palette import Random32, kmeans
@@ -17,7 +17,7 @@ from ..operators.state import build_plan
 from ..streaming.progress import stream_fills
 from . import segment
 from .catalog_queries import TAP_SQL
-from .pixel_queries import LAB_SQL, lab_pixels
+from .pixel_queries import LAB_SQL, box_sql, lab_pixels
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,7 +54,7 @@ def w1(s, d):
 
 @query("w2_smooth")
 def w2(s, d):
-    return grid.per_image(lab_rows(s, d), ORD, list("lab"), lambda g: lab_result(grid.smooth(stacked(g), 2, 11.0, cap=64), g["valid"]), LAB_OUT)
+    return grid.per_image(lab_rows(s, d), ORD, list("lab"), lambda g: lab_result(grid.smooth(stacked(g), 2, 11.0), g["valid"]), LAB_OUT)
 
 
 @query("w3_downscale", f"with {ORD_SQL}, t as (select distinct img, cast(ox as int) ox, cast(oy as int) oy from (select img from ord), range(50) a(ox), range(16) b(oy)) select t.img, cast(t.oy * 50 + t.ox as bigint) i, round(avg(o.r), 3) v from t join ord o on o.img = t.img and o.x >= floor(t.ox * 125 / 50.0) and o.x < ceil((t.ox + 1) * 125 / 50.0) and o.y >= floor(t.oy * 40 / 16.0) and o.y < ceil((t.oy + 1) * 40 / 16.0) group by t.img, t.ox, t.oy")
@@ -75,13 +75,16 @@ def w4(s, d):
     return grid.per_image(lab_rows(s, d), ORD, list("lab"), f, LAB_OUT)
 
 
-@query("s12_thumbnail")
-def s12(s, d):
-    def f(g):
-        low = grid.downscale(stacked(g), 48, max(1, int(np.floor(ORD[1] * 48 / ORD[0] + 0.5))))
-        return lab_result(low, np.ones(low.shape[:2], bool))
+SMALL_SIZE = (48, max(1, int(np.floor(ORD[1] * 48 / ORD[0] + 0.5))))
 
-    return grid.per_image(lab_rows(s, d), ORD, list("lab"), f, LAB_OUT)
+
+@query("s12_thumbnail", f"""with {ORD_SQL}, {LAB_SQL}, hs as (select img, max(y) + 1 h from ord group by img),
+bx as (select img, h, cast(ox as int) ox, cast(oy as int) oy from hs, range({SMALL_SIZE[0]}) a(ox), range({SMALL_SIZE[1]}) b(oy))
+select t.img, cast(t.oy * {SMALL_SIZE[0]} + t.ox as bigint) i, round(cast(avg(l::double) as float)::double, 2) l, round(cast(avg(a::double) as float)::double, 2) a, round(cast(avg(bb::double) as float)::double, 2) b
+from bx t join lab o on o.img = t.img and o.x >= floor(t.ox * 125 / {SMALL_SIZE[0]}.0) and o.x < ceil((t.ox + 1) * 125 / {SMALL_SIZE[0]}.0) and o.y >= floor(t.oy * h / {SMALL_SIZE[1]}.0) and o.y < ceil((t.oy + 1) * h / {SMALL_SIZE[1]}.0) group by t.img, t.ox, t.oy""")
+def s12(s, d):
+    low = marks.box_means(lab_rows(s, d), list("lab"), ORD[0], SMALL_SIZE)
+    return low.select("img", (F.col("oy") * SMALL_SIZE[0] + F.col("ox")).cast("bigint").alias("i"), *(F.round(F.col(c).cast("float").cast("double"), 2).alias(c) for c in "lab"))
 
 
 MASK = "img bigint, i bigint, x int, y int"
@@ -92,24 +95,31 @@ def c3(s, d):
     return grid.per_image(lab_rows(s, d), ORD, ["l", "conf"], lambda g: grid.rows_of({}, edges.feature_lines(g["l"].astype(np.float32), min_chain=3) & g["valid"]), MASK)
 
 
-@query("g2_hysteresis")
+CHAIN_SQL = """c as (select img, i, x, y, i root from px union select q.img, q.i, q.x, q.y, c.root from c join px q on q.img = c.img and abs(q.x - c.x) <= 1 and abs(q.y - c.y) <= 1 and c.root < q.i),
+m as (select img, i, x, y, min(root) root from c group by all),
+k as (select img, root, count(*) n, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) box from m group by all)"""
+
+
+@query("g2_hysteresis", f"with recursive {ORD_SQL}, px as (select * from ord where r > 120), c as (select img, i, x, y from px where r > 250 union select q.img, q.i, q.x, q.y from c join px q on q.img = c.img and abs(q.x - c.x) <= 1 and abs(q.y - c.y) <= 1) select * from c")
 def g2(s, d):
-    return grid.per_image(r_ord(s, d), ORD, ["r"], lambda g: grid.rows_of({}, edges.grown((g["r"] > 120) & g["valid"], (g["r"] > 250) & g["valid"])), MASK)
+    return marks.hysteresis(r_ord(s, d), F.col("r") > 120, F.col("r") > 250)
 
 
-@query("g3_long_chains")
+@query("g3_long_chains", f"with recursive {ORD_SQL}, px as (select * from ord where r > 180), {CHAIN_SQL} select img, i, x, y from m join k using (img, root) where n >= 6")
 def g3(s, d):
-    return grid.per_image(r_ord(s, d), ORD, ["r"], lambda g: grid.rows_of({}, edges.long_chains((g["r"] > 180) & g["valid"], 6)), MASK)
+    return marks.long_chains(r_ord(s, d).where("r > 180"), 6)
 
 
-@query("g4_compact_components")
+@query("g4_compact_components", f"with recursive {ORD_SQL}, px as (select * from ord where r > 180), {CHAIN_SQL} select img, i, x, y from m join k using (img, root) where n between 4 and 200 and n / box::double >= 0.3")
 def g4(s, d):
-    return grid.per_image(r_ord(s, d), ORD, ["r"], lambda g: grid.rows_of({}, edges.compact_components((g["r"] > 180) & g["valid"], 4, 200)), MASK)
+    return marks.compact(r_ord(s, d).where("r > 180"), 4, 200)
 
 
-@query("w6_g4_dark_marks")
+@query("w6_g4_dark_marks", f"with recursive {ORD_SQL}, {LAB_SQL}, {box_sql('lab', 'l')}, px as (select * from bm where l::double < m - 13), {CHAIN_SQL}, sz as (select img, 0.004::double * 125 * (max(y) + 1) most from ord group by img) select img, i, x, y from m join k using (img, root) join sz using (img) where n >= 3 and n <= most and n / box::double >= 0.3")
 def dark(s, d):
-    return grid.per_image(lab_rows(s, d), ORD, ["l"], lambda g: grid.rows_of({}, edges.dark_marks(g["l"], least=3) & g["valid"]), MASK)
+    px = lab_rows(s, d).withColumn("l", F.col("l").cast("double"))
+    most = R.frames(px).select("img", (F.lit(0.004) * ORD[0] * (F.col("bottom") + 1)).alias("most"))
+    return marks.compact(R.with_local_mean(px, "l", 24).where(F.col("l") < F.col("mean") - 13), 3, most)
 
 
 @query("g1_components_by_image", """with recursive px as (select p_partkey // 500 img, p_partkey % 500 i, p_partkey % 50 x, p_partkey % 500 // 50 y, floor(p_size / 13.0) idx from part),
@@ -178,15 +188,20 @@ def k11(s, d):
     return grid.per_image(r_ord(s, d), ORD, ["conf"], lambda g: grid.rows_of({}, contour.silhouette(g["conf"], min_area=20) & g["valid"]), MASK)
 
 
-@query("k13_paint_strokes")
+@query("k13_paint_strokes", f"""with {ORD_SQL}, hs as (select img, max(y) bottom, max(x) "right" from ord group by img),
+p as (select img, i, x, y from ord where r > 253 union all select img, 0, 0, 0 from ord group by img having max(r) <= 253),
+e as (select img, x, y, coalesce(lead(x) over w, first_value(x) over w) - x dx, coalesce(lead(y) over w, first_value(y) over w) - y dy from p window w as (partition by img order by i)),
+n as (select *, greatest(1, cast(ceil(sqrt((dx * dx + dy * dy)::double)) as int)) n from e),
+t as (select *, unnest(range(n + 1)) k from n),
+q as (select distinct img, cast(floor(x + dx * (k / n::double) + 0.5) as int) x, cast(floor(y + dy * (k / n::double) + 0.5) as int) y from t),
+b as (select distinct img, cast(q.x + u.o - 2 as int) x, cast(q.y + v.o - 2 as int) y from q, range(5) u(o), range(5) v(o) where (u.o - 2) ** 2 + (v.o - 2) ** 2 <= 4)
+select b.img, cast(b.y * 125 + b.x as bigint) i, b.x, b.y from b join hs using (img) where b.x between 0 and "right" and b.y between 0 and bottom""")
 def k13(s, d):
-    def f(g):
-        out = np.zeros(g["r"].shape, bool)
-        y, x = np.nonzero(g["valid"] & (g["r"] > 253))
-        contour.stroke(out, list(zip(x.tolist(), y.tolist(), strict=True)) or [(0, 0)], 2)
-        return grid.rows_of({}, out)
-
-    return grid.per_image(r_ord(s, d), ORD, ["r"], f, MASK)
+    px = r_ord(s, d)
+    points = px.where("r > 253").select("img", "i", "x", "y")
+    none = px.groupBy("img").agg(F.max("r").alias("m")).where("m <= 253").select("img", F.lit(0).cast("bigint"), F.lit(0), F.lit(0))
+    out = marks.strokes(points.union(none), 2, R.frames(px))
+    return out.select("img", (F.col("y") * ORD[0] + F.col("x")).cast("bigint").alias("i"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
 
 
 SMALL = {"min_area": (0.004, 20), "background_area": (0.012, 60)}

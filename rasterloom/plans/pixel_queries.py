@@ -112,7 +112,7 @@ def p12(s, d):
     return load(s, d, "part").select("p_partkey", F.round(400 + (1 - F.coalesce(conf, F.lit(0.0))) * (3000 - 400), 3).alias("area"))
 
 
-@query("p20_spatial_kernel", "select p_partkey, x - 4 dx, y - 4 dy, round(cast(exp(-((x - 4) ** 2 + (y - 4) ** 2) / (2 * (4 / 1.5) ** 2)) as float)::double, 5) w from part, range(9) a(x), range(9) b(y) where p_size = 7")
+@query("p20_spatial_kernel", "select p_partkey, x - 4 dx, y - 4 dy, round(cast(exp(-((x - 4) ** 2 + (y - 4) ** 2) / (2 * (4 / 1.5) ** 2)) as float)::double, 5) w from part, range(9) a(x), range(9) b(y)")
 def p20(s, d):
     o = F.sequence(F.lit(-4), F.lit(4)).cast("array<bigint>")
     k = load(s, d, "part").select("p_partkey", F.explode(o).alias("dx")).select("*", F.explode(o).alias("dy"))
@@ -388,9 +388,16 @@ def w5(s, d):
     return R.vote(r_part(s, d), "idx", 2).select("img", (F.col("y") * PART[0] + F.col("x")).cast("bigint").alias("i"), "value")
 
 
-@query("w6_local_mean_dark", f"with {ORD_SQL} select p.img, p.i, round(avg(q.r), 4) mean, p.r < avg(q.r) - 13 dark from ord p join ord q on p.img = q.img and abs(p.x - q.x) <= 4 and abs(p.y - q.y) <= 4 group by p.img, p.i, p.r")
+def box_sql(source: str, col: str, radius: int = 24) -> str:
+    """CTE bm: the rows of ``source`` with m, the mean over a box, by running sums over rows and then columns."""
+    over = f"rows between {radius} preceding and {radius} following"
+    return f"""br as (select *, sum({col}::double) over (partition by img, y order by x {over}) s, count(*) over (partition by img, y order by x {over}) k from {source}),
+bm as (select *, sum(s) over (partition by img, x order by y {over}) / sum(k) over (partition by img, x order by y {over}) m from br)"""
+
+
+@query("w6_local_mean_dark", f"with {ORD_SQL}, {box_sql('ord', 'r')} select img, i, round(m, 4) mean, r < m - 13 dark from bm")
 def w6(s, d):
-    m = R.with_local_mean(r_ord(s, d), "r", 4)
+    m = R.with_local_mean(r_ord(s, d), "r", 24)
     return m.select("img", "i", F.round("mean", 4).alias("mean"), (F.col("r") < F.col("mean") - 13).alias("dark"))
 
 
