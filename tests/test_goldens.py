@@ -51,7 +51,7 @@ def test_components_and_adjacency(spark):
     px = raster(spark, label.tolist())
     assert {(r.a, r.b): r.border for r in R.adjacency(px, "v").collect() if r.a < r.b} == {(0, 1): 2, (0, 2): 3, (1, 3): 1, (2, 3): 1}
     g = RegionGraph.of(label, np.array(rows))
-    assert g.area == [3, 2, 3, 1] and g.borders[0] == {1: 2, 2: 3}
+    assert g.area.tolist() == [3, 2, 3, 1] and g.links[0] == {1: 2, 2: 3}
     grown = {r.i: r.root for r in R.grow(raster(spark, rows), "v").collect()}
     assert grown == {0: 0, 1: 0, 4: 0, 2: 2, 5: 2, 3: 3, 6: 3, 7: 3, 8: 8}
 
