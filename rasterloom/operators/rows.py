@@ -11,11 +11,6 @@ def stacked(g: dict) -> np.ndarray:
     return np.stack([g[c] for c in "lab"], 2).astype(np.float32)
 
 
-def lab_result(out: np.ndarray, where: np.ndarray) -> dict:
-    y, x = np.nonzero(where)
-    return {"i": y * where.shape[1] + x} | {c: np.round(out[y, x, k].astype(float), 2) for k, c in enumerate("lab")}
-
-
 def loops(g: dict, change) -> dict:
     out: dict = {"loop": [], "k": [], "px": [], "py": []}
     for n, loop in enumerate(contour.contours((g["idx"] >= 2) & g["valid"], 6)):

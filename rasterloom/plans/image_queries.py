@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import ORD, ORD_SQL, PART, r_ord, r_part
 from ..functions import color as C
-from ..operators import contour, edges, grid, marks
+from ..operators import contour, edges, grid, marks, smoothing
 from ..operators import regions as R
 from ..operators.merge import RegionGraph, merge_regions
 from ..operators.palette import Random32, kmeans
-from ..operators.rows import lab_result, loops, stacked
+from ..operators.rows import loops, stacked
 from ..operators.state import build_plan
 from ..streaming.progress import stream_fills
 from . import segment
@@ -38,23 +38,30 @@ def lab_rows(s, d):
     return lab_pixels(s, d).select("img", "i", "x", "y", "conf", "lab.*")
 
 
-LAB_OUT = "img bigint, i bigint, l double, a double, b double"
+def pass_sql(source: str, name: str, sigma: float) -> str:
+    """CTE ``name``: ``source`` (img, i, x, y, l, a, bb) after one bilateral pass."""
+    return f"""{name}_t as (select p.img, p.i, p.x, p.y, q.l::double ql, q.a::double qa, q.bb::double qb, cast(exp(-((q.x - p.x) ** 2 + (q.y - p.y) ** 2) / (2 * (4 / 1.5) ** 2)) as float)::double * exp(-((q.l::double - p.l::double) ** 2 + (q.a::double - p.a::double) ** 2 + (q.bb::double - p.bb::double) ** 2) / (2 * {sigma} * {sigma})) w
+ from {source} p, range(-4, 5) u(dx), range(-4, 5) v(dy), {source} q where q.img = p.img and q.x = p.x + u.dx and q.y = p.y + v.dy),
+{name} as (select img, i, x, y, cast(sum(w * ql) / sum(w) as float) l, cast(sum(w * qa) / sum(w) as float) a, cast(sum(w * qb) / sum(w) as float) bb from {name}_t group by img, i, x, y)"""
 
 
-@query("w1_bilateral_pass", f"""with {ORD_SQL}, {LAB_SQL},
-t as (select p.img, p.i, q.l::double ql, q.a::double qa, q.bb::double qb, cast(exp(-((q.x - p.x) ** 2 + (q.y - p.y) ** 2) / (2 * (4 / 1.5) ** 2)) as float)::double * exp(-((q.l::double - p.l::double) ** 2 + (q.a::double - p.a::double) ** 2 + (q.bb::double - p.bb::double) ** 2) / (2 * 14 * 14)) w
- from lab p join lab q on p.img = q.img and abs(q.x - p.x) <= 4 and abs(q.y - p.y) <= 4)
-select img, i, round(cast(sum(w * ql) / sum(w) as float)::double, 2) l, round(cast(sum(w * qa) / sum(w) as float)::double, 2) a, round(cast(sum(w * qb) / sum(w) as float)::double, 2) b from t group by img, i""")
-def w1(s, d):
-    def f(g):
-        return lab_result(grid.bilateral(stacked(g), 14.0), g["valid"])
+LAB_ROUND = "select img, i, round(l::double, 2) l, round(a::double, 2) a, round(bb::double, 2) b"
+
+
+def rounded(df):
+    return df.select("img", "i", *(F.round(F.col(c).cast("double"), 2).alias(c) for c in "lab"))
 
-    return grid.per_image(lab_rows(s, d), ORD, list("lab"), f, LAB_OUT)
+
+@query("w1_bilateral_pass", f"with {ORD_SQL}, {LAB_SQL}, {pass_sql('lab', 'p1', 14)} {LAB_ROUND} from p1")
+def w1(s, d):
+    return rounded(smoothing.bilateral(lab_rows(s, d), list("lab"), 14.0))
 
 
-@query("w2_smooth")
+@query("w2_smooth", f"with {ORD_SQL}, {LAB_SQL}, {pass_sql('lab', 'p1', 11)}, {pass_sql('p1', 'p2', 11)} {LAB_ROUND} from p2")
 def w2(s, d):
-    return grid.per_image(lab_rows(s, d), ORD, list("lab"), lambda g: lab_result(grid.smooth(stacked(g), 2, 11.0), g["valid"]), LAB_OUT)
+    """Two passes; these images are below the size from which smoothing goes by way of a smaller copy (w4 has that step)."""
+    once = smoothing.bilateral(lab_rows(s, d), list("lab"), 11.0)
+    return rounded(smoothing.bilateral(once, list("lab"), 11.0))
 
 
 @query("w3_downscale", f"with {ORD_SQL}, t as (select distinct img, cast(ox as int) ox, cast(oy as int) oy from (select img from ord), range(50) a(ox), range(16) b(oy)) select t.img, cast(t.oy * 50 + t.ox as bigint) i, round(avg(o.r), 3) v from t join ord o on o.img = t.img and o.x >= floor(t.ox * 125 / 50.0) and o.x < ceil((t.ox + 1) * 125 / 50.0) and o.y >= floor(t.oy * 40 / 16.0) and o.y < ceil((t.oy + 1) * 40 / 16.0) group by t.img, t.ox, t.oy")
@@ -66,13 +73,18 @@ def w3(s, d):
     return near.groupBy("img", "ox", "oy").agg(F.avg("r").alias("v")).select("img", (F.col("oy") * 50 + F.col("ox")).cast("bigint").alias("i"), F.round("v", 3).alias("v"))
 
 
-@query("w4_guided_upsample")
+@query("w4_guided_upsample", f"""with {ORD_SQL}, {LAB_SQL}, hs as (select img, max(y) + 1 h from ord group by img),
+bx as (select img, h, cast(ox as int) ox, cast(oy as int) oy from hs, range(50) a(ox), range(16) b(oy)),
+lo as (select t.img, t.ox, t.oy, cast(avg(l::double) as float)::double l, cast(avg(a::double) as float)::double a, cast(avg(bb::double) as float)::double bb
+ from bx t join lab o on o.img = t.img and o.x >= floor(t.ox * 125 / 50.0) and o.x < ceil((t.ox + 1) * 125 / 50.0) and o.y >= floor(t.oy * h / 16.0) and o.y < ceil((t.oy + 1) * h / 16.0) group by all),
+gd as (select img, i, l::double l, a::double a, bb::double bb, (x + 0.5::double) * (50 / 125.0::double) - 0.5 cx, (y + 0.5::double) * (16 / h::double) - 0.5 cy from lab join hs using (img)),
+gb as (select *, cast(least(49, greatest(0, floor(cx + 0.5))) as int) px, cast(least(15, greatest(0, floor(cy + 0.5))) as int) py from gd),
+tp as (select g.img, g.i, lo.l, lo.a, lo.bb, lo.ox = g.px and lo.oy = g.py own, exp(-((lo.oy - cy) ** 2 + (lo.ox - cx) ** 2) / (2 * (2 / 1.5) ** 2)) * exp(-((lo.l - g.l) ** 2 + (lo.a - g.a) ** 2 + (lo.bb - g.bb) ** 2) / (2 * 11 * 11)) w
+ from gb g, range(-2, 3) u(dx), range(-2, 3) v(dy), lo where lo.img = g.img and lo.ox = g.px + u.dx and lo.oy = g.py + v.dy)
+select img, i, round(cast(case when sum(w) > 1e-12 then sum(w * l) / sum(w) else max(l) filter (own) end as float)::double, 2) l, round(cast(case when sum(w) > 1e-12 then sum(w * a) / sum(w) else max(a) filter (own) end as float)::double, 2) a, round(cast(case when sum(w) > 1e-12 then sum(w * bb) / sum(w) else max(bb) filter (own) end as float)::double, 2) b from tp group by img, i""")
 def w4(s, d):
-    def f(g):
-        lab = stacked(g)
-        return lab_result(grid.upsample(grid.downscale(lab, 50, 16), lab, 11.0), g["valid"])
-
-    return grid.per_image(lab_rows(s, d), ORD, list("lab"), f, LAB_OUT)
+    px = lab_rows(s, d)
+    return rounded(smoothing.guided_upsample(marks.box_means(px, list("lab"), ORD[0], (50, 16)), px, list("lab"), ORD, (50, 16), 11.0))
 
 
 SMALL_SIZE = (48, max(1, int(np.floor(ORD[1] * 48 / ORD[0] + 0.5))))
