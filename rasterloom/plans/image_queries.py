@@ -40,8 +40,10 @@ def lab_rows(s, d):
 
 def pass_sql(source: str, name: str, sigma: float) -> str:
     """CTE ``name``: ``source`` (img, i, x, y, l, a, bb) after one bilateral pass."""
-    return f"""{name}_t as (select p.img, p.i, p.x, p.y, q.l::double ql, q.a::double qa, q.bb::double qb, cast(exp(-((q.x - p.x) ** 2 + (q.y - p.y) ** 2) / (2 * (4 / 1.5) ** 2)) as float)::double * exp(-((q.l::double - p.l::double) ** 2 + (q.a::double - p.a::double) ** 2 + (q.bb::double - p.bb::double) ** 2) / (2 * {sigma} * {sigma})) w
- from {source} p, range(-4, 5) u(dx), range(-4, 5) v(dy), {source} q where q.img = p.img and q.x = p.x + u.dx and q.y = p.y + v.dy),
+    return f"""{name}_s as materialized (select img, i, x, y, l::double l, a::double a, bb::double bb from {source}),
+{name}_m as materialized (select s.*, cast(x + dx as int) nx, cast(y + dy as int) ny, cast(exp(-(dx * dx + dy * dy) / (2 * (4 / 1.5) ** 2)) as float)::double k from {name}_s s, range(-4, 5) u(dx), range(-4, 5) v(dy)),
+{name}_t as (select p.img, p.i, p.x, p.y, q.l ql, q.a qa, q.bb qb, k * exp(-((q.l - p.l) ** 2 + (q.a - p.a) ** 2 + (q.bb - p.bb) ** 2) / (2 * {sigma} * {sigma})) w
+ from {name}_m p join {name}_s q on q.img = p.img and q.x = p.nx and q.y = p.ny),
 {name} as (select img, i, x, y, cast(sum(w * ql) / sum(w) as float) l, cast(sum(w * qa) / sum(w) as float) a, cast(sum(w * qb) / sum(w) as float) bb from {name}_t group by img, i, x, y)"""
 
 
