@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import cut
+
+
 def row_window():
     """Pixels of a row, from left to right."""
     return Window.partitionBy("img", "y").orderBy("x")
@@ -125,14 +128,14 @@ def grow(df: DataFrame, col: str, eight: bool = False) -> DataFrame:
     o = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in near)))
     moved = px.select("img", F.col("i").alias("a"), "v", "x", "y", o.alias("o")).select("img", "a", "v", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
     edge = moved.join(px.withColumnRenamed("i", "b"), ["img", "x", "y", "v"]).select("img", "a", "b")
-    edge = edge.union(edge.select("img", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    label = px.select("img", "i", F.col("i").alias("root")).checkpoint()
+    edge = cut(edge.union(edge.select("img", F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut(px.select("img", "i", F.col("i").alias("root")))
     while True:
         seen = edge.join(label.select("img", F.col("i").alias("b"), "root"), ["img", "b"]).groupBy("img", F.col("a").alias("i")).agg(F.min("root").alias("m"))
         step = label.join(seen, ["img", "i"], "left").select("img", "i", "root", F.least("root", F.coalesce("m", "root")).alias("new"))
         top = step.select("img", F.col("i").alias("new"), F.col("new").alias("jump"))
         hook = step.groupBy("img", F.col("root").alias("i")).agg(F.min("new").alias("h"))
-        nxt = step.join(top, ["img", "new"], "left").join(hook, ["img", "i"], "left").select("img", "i", "root", F.least("jump", F.coalesce("h", "jump")).alias("new")).checkpoint()
+        nxt = cut(step.join(top, ["img", "new"], "left").join(hook, ["img", "i"], "left").select("img", "i", "root", F.least("jump", F.coalesce("h", "jump")).alias("new")))
         if not nxt.where("root <> new").limit(1).count():
             return nxt.select("img", "i", "root")
         label = nxt.select("img", "i", F.col("new").alias("root"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import cut
+
 from ..functions.color import PRESETS
 
 SELECTED = ("click", "error", "purchase", "signup", "view")
@@ -72,7 +74,7 @@ def global_rank(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Adds the place (from 1) of each row in the order of ``by``, which must be unique. Rows are dealt out by range and counted in each
     range; only the counts of ranges, one for each partition, are put together."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *by).withColumn("_p", F.spark_partition_id()).checkpoint()
+    ranged = cut(df.repartitionByRange(parts, *by).withColumn("_p", F.spark_partition_id()))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(w), F.lit(0))).select("_p", "_before")
     place = F.row_number().over(Window.partitionBy("_p").orderBy(*by)) + F.col("_before")
