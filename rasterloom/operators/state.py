@@ -69,7 +69,7 @@ def build_plan(now: DataFrame, cache: DataFrame, manifest: DataFrame, assets: Da
     return j.select("slug", F.when(same, "reuse").otherwise("pending").alias("status"))
 
 
-def global_rank(df: DataFrame, by: list[str], name: str) -> DataFrame:
+def global_rank(df: DataFrame, by: list[str | Column], name: str) -> DataFrame:
     """Adds the place (from 1) of each row in the order of ``by``, which must be unique. Rows are dealt out by range and counted in each
     range; only the counts of ranges, one for each partition, are put together."""
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -78,3 +78,14 @@ def global_rank(df: DataFrame, by: list[str], name: str) -> DataFrame:
     before = ranged.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(w), F.lit(0))).select("_p", "_before")
     place = F.row_number().over(Window.partitionBy("_p").orderBy(*by)) + F.col("_before")
     return ranged.join(F.broadcast(before), "_p").withColumn(name, place.cast("bigint")).drop("_p", "_before")
+
+
+def place_within(df: DataFrame, keys: list[str], by: list[str | Column], name: str) -> DataFrame:
+    """Adds the place (from 1) of each row among those of its keys, in the order of ``by``; keys and ``by`` together must be unique. Rows go by
+    range and not by key, so a key with a third of all rows is spread over tasks; places count from the key's first."""
+    ranked = cut(global_rank(df, [*keys, *by], "_at"))
+    first = ranked.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("_at").alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return ranked.join(first, same).withColumn(name, F.col("_at") - F.col("_first") + 1).select(*df.columns, name)

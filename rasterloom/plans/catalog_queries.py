@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import ORD_SQL, load, r_ord
 from ..functions import text as T
 from ..operators import state as S
+from ..shipping import shared_folder
+from ..sources import rasters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,17 +111,33 @@ def s13(s, d):
     return load(s, d, "pages").select("page_id", F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode("url", "utf-8")), r"\s", "")).alias("url"))
 
 
+@query("s8_s10_manifest", f"with {CAT_SQL} select id, name, size width from cat")
+def s10(s, d):
+    """The catalog written as a manifest, and read again."""
+    path = f"{shared_folder(s)}/manifest-{uuid.uuid4().hex}"
+    rasters.write_manifest(catalog(s, d).select("id", "name", F.col("size").alias("width")), path)
+    return rasters.read_manifest(s, path).select("id", "name", "width")
+
+
+@query("s9_load_json", "with t as (select event_id, case when event_id % 5 = 0 then left(props, -1) else props end p from events) select event_id, case when json_valid(p) then cast(json_extract(p, '$.k') as int) end k from t")
+def s9(s, d):
+    """Every fifth text has lost its end."""
+    cropped = F.expr("case when event_id % 5 = 0 then left(props, length(props) - 1) else props end")
+    return load(s, d, "events").select("event_id", rasters.json_value(cropped, "$.k", "int").alias("k"))
+
+
 @query("s14_contact_sheet", "select p_partkey, p_partkey % 8 % 4 * 480 as left_, cast(floor(p_partkey % 8 / 4.0) as bigint) * 320 as top_ from part")
 def s14(s, d):
     i = F.col("p_partkey") % 8
     return load(s, d, "part").select("p_partkey", (i % 4 * 480).alias("left_"), (F.floor(i / 4) * 320).alias("top_"))
 
 
-@query("s15_summary", f"with {CAT_SQL} select regexp_replace(id, '-(easy|medium|hard)$', '') key, string_agg(size || ' regions / ' || length(brand) || ' colors', '; ' order by ord) line from cat group by 1")
+@query("s15_summary", f"with {CAT_SQL} select regexp_replace(id, '-(easy|medium|hard)$', '') key, row_number() over (partition by regexp_replace(id, '-(easy|medium|hard)$', '') order by ord) as place, size || ' regions / ' || length(brand) || ' colors' line from cat")
 def s15(s, d):
+    """The lines of each image's summary, in their order; one row each, so that no image has to fit a row."""
     line = F.concat(F.col("size").cast("string"), F.lit(" regions / "), F.length("brand").cast("string"), F.lit(" colors"))
-    g = catalog(s, d).groupBy(T.group_key(F.col("id")).alias("key")).agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
-    return g.select("key", F.array_join("l.line", "; ").alias("line"))
+    lines = catalog(s, d).select(T.group_key(F.col("id")).alias("key"), "ord", line.alias("line"))
+    return S.place_within(lines, ["key"], ["ord"], "place").select("key", "place", "line")
 
 
 @query("s18_cell_layout", "select p_partkey, cast(floor(p_size * 20 * k + 0.5) as bigint) w, cast(floor((480 - p_size * 20 * k) / 2) as bigint) pad from (select *, least(480.0::double / (p_size * 20), 320.0::double / 400) k from part where p_size > 0)")
@@ -200,10 +220,11 @@ def a10(s, d):
     return g.groupBy("key").agg(F.min_by("name", "ord").alias("name"), *last, F.coalesce(medium, F.min_by("size", "ord")).alias("thumb"))
 
 
-@query("a11_manifest_by_slug", f"with {CAT_SQL} select regexp_replace(id, '-(easy|medium|hard)$', '') key, list(id order by ord) ids from cat group by 1")
+@query("a11_manifest_by_slug", f"with {CAT_SQL} select regexp_replace(id, '-(easy|medium|hard)$', '') key, row_number() over (partition by regexp_replace(id, '-(easy|medium|hard)$', '') order by ord) as place, id from cat")
 def a11(s, d):
-    g = catalog(s, d).groupBy(T.group_key(F.col("id")).alias("key")).agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("l"))
-    return g.select("key", F.col("l.id").alias("ids"))
+    """Entries by slug, in the manifest's order; one row each."""
+    entries = catalog(s, d).select(T.group_key(F.col("id")).alias("key"), "ord", "id")
+    return S.place_within(entries, ["key"], ["ord"], "place").select("key", "place", "id")
 
 
 @query("a14_color_count", f"with {ORD_SQL} select img, r % 9 region, count(distinct g % 24) colors from ord group by all")
@@ -231,8 +252,8 @@ def o4(s, d):
 
 @query("o5_newest_first", "select event_id, row_number() over (partition by user_id order by ts desc, event_id) as place from events where event_type = 'purchase'")
 def o5(s, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return load(s, d, "events").where("event_type = 'purchase'").select("event_id", F.row_number().over(w).cast("bigint").alias("place"))
+    bought = load(s, d, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    return S.place_within(bought, ["user_id"], [F.desc("ts"), "event_id"], "place").select("event_id", "place")
 
 
 @query("o6_palette_entries", "select user_id, list(k || '=' || n order by k) entries from (select user_id, event_type k, count(*) n from events group by all) group by user_id")
@@ -260,9 +281,10 @@ def t2(s, d):
     return S.delete(load(s, d, "events"), gone, ["user_id"]).select("event_id")
 
 
-@query("t3_key_order_scan", "select user_id, list(event_id order by event_id) ids from events group by user_id")
+@query("t3_key_order_scan", "select user_id, event_id, row_number() over (order by user_id, event_id) as place from events")
 def t3(s, d):
-    return load(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    """All rows in the order of their keys."""
+    return S.global_rank(load(s, d, "events").select("user_id", "event_id"), ["user_id", "event_id"], "place")
 
 
 @query("t4_fill_fold", f"with {TAP_SQL} select puzzle, region, arg_max(fill, struct_pack(ts := ts, e := event_id)) fill from ok group by all")

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import ORD, ORD_SQL, PART, r_ord, r_part
 from ..functions import color as C
-from ..operators import contour, edges, grid, marks, smoothing
+from ..functions import random
+from ..operators import contour, grid, marks, smoothing
 from ..operators import regions as R
 from ..operators.merge import RegionGraph, merge_regions
-from ..operators.palette import Random32, kmeans
+from ..operators.palette import kmeans
 from ..operators.rows import loops, stacked
 from ..operators.state import build_plan
+from ..shipping import cut, shared_folder
+from ..sources import rasters
 from ..streaming.progress import stream_fills
 from . import segment
 from .catalog_queries import TAP_SQL
-from .pixel_queries import LAB_SQL, box_sql, lab_pixels
+from .pixel_queries import LAB_SQL, blurred, box_sql, lab_pixels, sobel, thinned
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -104,16 +109,45 @@ def s12(s, d):
 MASK = "img bigint, i bigint, x int, y int"
 
 
-@query("c3_feature_lines")
-def c3(s, d):
-    return grid.per_image(lab_rows(s, d), ORD, ["l", "conf"], lambda g: grid.rows_of({}, edges.feature_lines(g["l"].astype(np.float32), min_chain=3) & g["valid"]), MASK)
-
-
 CHAIN_SQL = """c as (select img, i, x, y, i root from px union select q.img, q.i, q.x, q.y, c.root from c join px q on q.img = c.img and abs(q.x - c.x) <= 1 and abs(q.y - c.y) <= 1 and c.root < q.i),
 m as (select img, i, x, y, min(root) root from c group by all),
 k as (select img, root, count(*) n, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) box from m group by all)"""
 
 
+LINES_SQL = """kt as (select * from (values (-2, 0.06136::double), (-1, 0.24477::double), (0, 0.38774::double), (1, 0.24477::double), (2, 0.06136::double)) k(t, w)),
+hs as (select img, max(y) my from ord group by img),
+b0 as materialized (select img, i, x, y, l::double v, my from lab join hs using (img)),
+b1 as materialized (select p.img, p.i, p.x, p.y, p.my, cast(sum(w * q.v) as float)::double v from (select b0.*, w, least(124, greatest(0, x + t)) nx from b0, kt) p join b0 q on q.img = p.img and q.y = p.y and q.x = p.nx group by p.img, p.i, p.x, p.y, p.my),
+b2 as materialized (select p.img, p.i, p.x, p.y, p.my, cast(sum(w * q.v) as float)::double v from (select b1.*, w, least(my, greatest(0, y + t)) ny from b1, kt) p join b1 q on q.img = p.img and q.x = p.x and q.y = p.ny group by p.img, p.i, p.x, p.y, p.my),
+nb as (select b2.*, dx, dy, cast(x + dx as int) nx, cast(y + dy as int) ny from b2, range(-1, 2) u(dx), range(-1, 2) v(dy) where x between 1 and 123 and y between 1 and my - 1),
+sb as (select p.img, p.i, p.x, p.y, sum(dx * (2 - abs(dy)) * q.v) gx, sum(dy * (2 - abs(dx)) * q.v) gy from nb p join b2 q on q.img = p.img and q.x = p.nx and q.y = p.ny group by p.img, p.i, p.x, p.y),
+mg as materialized (select b2.img, b2.i, b2.x, b2.y, coalesce(cast(sqrt(gx * gx + gy * gy) as float)::double, 0) mag, case when gx is null or (gx = 0 and gy = 0) then 0 else ((cast(floor(atan2(gy, gx) / pi() * 4 + 0.5) as int) % 4) + 4) % 4 end dir from b2 left join sb using (img, i)),
+sd as (select *, case dir when 2 then 0 else 1 end sx, case dir when 0 then 0 when 1 then -1 else 1 end sy from mg where mag > 0),
+th as materialized (select c.img, c.i, c.x, c.y, c.mag from sd c join mg a on a.img = c.img and a.x = c.x - sx and a.y = c.y - sy join mg b on b.img = c.img and b.x = c.x + sx and b.y = c.y + sy where c.mag >= a.mag and c.mag >= b.mag),
+rk as (select img, mag, row_number() over (partition by img order by mag) - 1 k, count(*) over (partition by img) n from th),
+lim as (select img, max(mag) filter (k = least(n - 1, cast(floor(n * 0.95::double) as bigint))) hi, max(mag) filter (k = least(n - 1, cast(floor(n * 0.85::double) as bigint))) lo from rk group by img),
+wk as materialized (select th.*, hi from th join lim using (img) where mag >= lo),
+hy as (select img, i, x, y from wk where mag >= hi union select q.img, q.i, q.x, q.y from hy join wk q on q.img = hy.img and abs(q.x - hy.x) <= 1 and abs(q.y - hy.y) <= 1),
+px as (select * from hy)"""
+
+
+@query("c3_feature_lines", f"with recursive {ORD_SQL}, {LAB_SQL}, {LINES_SQL}, {CHAIN_SQL} select img, i, x, y from m join k using (img, root) where n >= 3")
+def c3(s, d):
+    return feature_lines(lab_rows(s, d).select("img", "i", "x", "y", "l"), "l", least=3)
+
+
+def feature_lines(px: DataFrame, col: str, strong: float = 0.95, weak: float = 0.85, least: int = 20) -> DataFrame:
+    """(img, i, x, y) of the thin edges of ``col`` that hang together with a strong one, in chains of at least ``least`` pixels. Strong and
+    weak are ranks among the image's thin edges."""
+    blur = blurred(px, col).withColumn("v", F.col("v").cast("double"))
+    t = cut(thinned(sobel(blur, "v").withColumn("mag", F.sqrt("m2").cast("float").cast("double")), "mag"))
+    w = Window.partitionBy("img")
+    ranked = t.select("img", "mag", (F.row_number().over(w.orderBy("mag")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    at = lambda p: F.max(F.when(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p))), F.col("mag")))
+    limits = ranked.groupBy("img").agg(at(strong).alias("hi"), at(weak).alias("lo"))
+    return marks.long_chains(marks.hysteresis(t.join(limits, "img"), F.col("mag") >= F.col("lo"), F.col("mag") >= F.col("hi")), least)
+
+
 @query("g2_hysteresis", f"with recursive {ORD_SQL}, px as (select * from ord where r > 120), c as (select img, i, x, y from px where r > 250 union select q.img, q.i, q.x, q.y from c join px q on q.img = c.img and abs(q.x - c.x) <= 1 and abs(q.y - c.y) <= 1) select * from c")
 def g2(s, d):
     return marks.hysteresis(r_ord(s, d), F.col("r") > 120, F.col("r") > 250)
@@ -148,13 +182,15 @@ def g1b(s, d):
     return grid.per_image(r_part(s, d), PART, ["idx"], f, "img bigint, i bigint, label bigint, area bigint")
 
 
-@query("p19_random_numbers")
+@query("p19_random_numbers", f"""with {ORD_SQL}, sd as (select img, sum(r)::bigint seed from ord group by img),
+a as (select img, cast(k as int) k, (seed + (k + 1) * {random.STEP}) % 4294967296 a from sd, range(8) u(k)),
+b as (select img, k, cast((xor(a, a >> 15)::hugeint * (a | 1)) % 4294967296 as bigint) t from a),
+c as (select img, k, t, cast((xor(t, t >> 7)::hugeint * (t | 61)) % 4294967296 as bigint) m from b),
+e as (select img, k, xor(t, (t + m) % 4294967296) t from c) select img, k, xor(t, t >> 14) / 4294967296::double u from e""")
 def p19(s, d):
-    def f(g):
-        draw = Random32(int(g["r"].sum()))
-        return {"k": np.arange(8), "u": [draw() for _ in range(8)]}
-
-    return grid.per_image(r_ord(s, d), ORD, ["r"], f, "img bigint, k int, u double")
+    seeds = r_ord(s, d).groupBy("img").agg(F.sum("r").alias("seed"))
+    draws = seeds.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return draws.select("img", "k", random.random32(F.col("seed"), F.col("k")).alias("u"))
 
 
 @query("g10_g11_g12_palette")
@@ -249,7 +285,10 @@ def c2_model(s, d):
     return segment.outline_pixels(r_ord(s, d).withColumn("alpha", F.col("conf")), ORD, line_art=True)
 
 
-@query("c4_line_art_alpha", f"with {ORD_SQL}, v as (select *, 1 - b / 255.0::double dk from ord), k as (select img, dk, row_number() over (partition by img order by dk) - 1 k, count(*) over (partition by img) n from v where dk > 0.08), sc as (select img, 1 / greatest(coalesce(max(dk) filter (k = least(n - 1, cast(floor(n * 0.95) as bigint))), 1), 0.35) s from k group by img) select v.img, i, case when x < 8 or y < 8 or x >= 117 or y >= 32 then 0 else cast(floor(least(1.0::double, greatest(0.0::double, (dk * coalesce(s, 1) - 0.45) / 0.3)) * 255 + 0.5) as int) end alpha from v left join sc using (img)")
+ALPHA_SQL = "v as (select *, 1 - b / 255.0::double dk from ord), k as (select img, dk, row_number() over (partition by img order by dk) - 1 k, count(*) over (partition by img) n from v where dk > 0.08), sc as (select img, 1 / greatest(coalesce(max(dk) filter (k = least(n - 1, cast(floor(n * 0.95) as bigint))), 1), 0.35) s from k group by img), al as (select v.img, i, case when x < 8 or y < 8 or x >= 117 or y >= 32 then 0 else cast(floor(least(1.0::double, greatest(0.0::double, (dk * coalesce(s, 1) - 0.45) / 0.3)) * 255 + 0.5) as int) end alpha from v left join sc using (img))"
+
+
+@query("c4_line_art_alpha", f"with {ORD_SQL}, {ALPHA_SQL} select img, i, alpha from al")
 def c4(s, d):
     """The drawing is an outside input (1 = paper, 0 = ink); here the blue channel stands for it."""
     w = Window.partitionBy("img")
@@ -262,6 +301,28 @@ def c4(s, d):
     return v.join(scale, "img", "left").select("img", "i", F.when(frame, 0).otherwise(C.round_half_up(ramp * 255).cast("int")).alias("alpha"))
 
 
+@query("c7_outline_asset", f"""with {ORD_SQL}, {ALPHA_SQL},
+px as (select ord.img, x, y, case when alpha > 0 then '1f1f1f' || lower(printf('%02x', alpha)) else '00000000' end h from ord join al on al.img = ord.img and al.i = ord.i),
+im as (select img, cast(max(x) + 1 as int) width, cast(max(y) + 1 as int) height, string_agg(h, '' order by y, x) h from px group by img),
+f as (select *, encode('P7' || chr(10) || 'WIDTH ' || width || chr(10) || 'HEIGHT ' || height || chr(10) || 'DEPTH 4' || chr(10) || 'MAXVAL 255' || chr(10) || 'TUPLTYPE RGB_ALPHA' || chr(10) || 'ENDHDR' || chr(10)) || unhex(h) c from im)
+select img, width, height, cast(octet_length(c) as int) bytes, sha1(c) sha from f""")
+def c7(s, d):
+    """An outline file of each image, from its line art: alpha curve, ink, and the encoded picture."""
+    px = r_ord(s, d)
+    ink = segment.outline_pixels(px.select("img", "i", "x", "y").join(c4(s, d), ["img", "i"]), ORD, line_art=True)
+    full = px.select("img", "i", "x", "y").join(ink.select("img", "i", "ink", "alpha"), ["img", "i"], "left")
+    rgba = full.select("img", "x", "y", *(F.coalesce("ink", F.lit(0)).alias(c) for c in "rgb"), F.coalesce("alpha", F.lit(0)).alias("a"))
+    return rasters.encode_pam(rgba).select("img", "width", "height", F.length("content").alias("bytes"), F.sha1("content").alias("sha"))
+
+
+@query("s2_s11_raster_files", f"with {ORD_SQL} select img, i, x, y, r, g, b from ord")
+def s11(s, d):
+    """Every image encoded, written, and decoded again."""
+    path = f"{shared_folder(s)}/rasters-{uuid.uuid4().hex}"
+    rasters.encode(r_ord(s, d).withColumn("slug", F.col("img").cast("string"))).write.parquet(path)
+    return rasters.decode(s.read.parquet(path)).select(F.col("slug").cast("bigint").alias("img"), "i", "x", "y", "r", "g", "b")
+
+
 @query("c5_c6_c8_incremental_build")
 def c8(s, d):
     """Catalog of all images: those whose hash is in the cache are taken over, the others are segmented."""

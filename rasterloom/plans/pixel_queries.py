@@ -449,12 +449,17 @@ def w8(s, d):
 
 @query("w9_thin_edges", f"with {ORD_SQL}, {SOBEL_SQL} select c.img, c.i from mg c join mg a on a.img = c.img and a.x = c.x - (case c.dir when 2 then 0 else 1 end) and a.y = c.y - (case c.dir when 0 then 0 when 1 then -1 else 1 end) join mg b on b.img = c.img and b.x = c.x + (case c.dir when 2 then 0 else 1 end) and b.y = c.y + (case c.dir when 0 then 0 when 1 then -1 else 1 end) where c.m2 > 0 and c.m2 >= a.m2 and c.m2 >= b.m2")
 def w9(s, d):
-    m = sobel(r_ord(s, d)).select("img", "i", "x", "y", "m2", "dir")
+    return thinned(sobel(r_ord(s, d)), "m2").select("img", "i")
+
+
+def thinned(m: DataFrame, strength: str) -> DataFrame:
+    """(img, i, x, y, strength) of the pixels no weaker than both neighbours along the gradient's direction ``dir``."""
     dx, dy = F.when(F.col("dir") == 2, 0).otherwise(1), F.when(F.col("dir") == 0, 0).when(F.col("dir") == 1, -1).otherwise(1)
-    sides = m.where("m2 > 0").select("img", "i", F.col("m2").alias("own"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("k"), "x", "y", dx.alias("dx"), dy.alias("dy"))
-    at = sides.select("img", "i", "own", (F.col("x") + F.col("k") * F.col("dx")).alias("x"), (F.col("y") + F.col("k") * F.col("dy")).alias("y"))
-    both = at.join(m.select("img", "x", "y", "m2"), ["img", "x", "y"]).groupBy("img", "i", "own").agg(F.max("m2").alias("most"))
-    return both.where("own >= most").select("img", "i")
+    own = F.struct("i", "x", "y", strength).alias("own")
+    sides = m.where(F.col(strength) > 0).select("img", own, F.explode(F.array(F.lit(-1), F.lit(1))).alias("k"), "x", "y", dx.alias("dx"), dy.alias("dy"))
+    at = sides.select("img", "own", (F.col("x") + F.col("k") * F.col("dx")).alias("x"), (F.col("y") + F.col("k") * F.col("dy")).alias("y"))
+    both = at.join(m.select("img", "x", "y", F.col(strength).alias("near")), ["img", "x", "y"]).groupBy("img", "own").agg(F.max("near").alias("most"))
+    return both.where(F.col(f"own.{strength}") >= F.col("most")).select("img", "own.*")
 
 
 # --- numbering, runs, labels ------------------------------------------------------------------------------------------------------

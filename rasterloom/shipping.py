@@ -25,10 +25,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, in the folder that the session names in spark.checkpoint.dir; in a temporary one of our own if none is named, as
-    in tests."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one of our own if none is named, as in tests."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rasterloom-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rasterloom-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
@@ -77,13 +77,30 @@ def encode(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("slug").applyInPandas(run, "slug string, content binary")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The puzzles of a manifest; none if it can't be read or a record is broken."""
+def encode_pam(pixels: DataFrame) -> DataFrame:
+    """(img, width, height, content): a PAM file (P7, RGB_ALPHA) of each image of (img, x, y, r, g, b, a), all of whose pixels must be there. Rows
+    of pixels are put together first, then the rows of an image, as a file holds one image whole."""
+    sample = F.concat(*(F.lower(F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0")) for c in "rgba"))
+    joined = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, "h"))), lambda p: p["h"]), "")
+    rows = pixels.select("img", "x", "y", sample.alias("h")).groupBy("img", "y").agg(F.count(F.lit(1)).alias("width"), joined("x").alias("h"))
+    whole = rows.groupBy("img").agg(F.max("width").cast("int").alias("width"), F.count(F.lit(1)).cast("int").alias("height"), joined("y").alias("h"))
+    header = F.format_string("P7\nWIDTH %d\nHEIGHT %d\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n", "width", "height")
+    return whole.select("img", "width", "height", F.concat(header.cast("binary"), F.unhex("h")).alias("content"))
+
+
+def json_value(text: Column, path: str, kind: str) -> Column:
+    """One value of a JSON text; null if the text is no JSON or has no such value."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)
+
+
+def read_manifest(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """The puzzles of a manifest, one record a line, or (``lines`` false) one array in each file; none if it isn't there. Broken records
+    are left out."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], PUZZLE)
-    return spark.read.schema(PUZZLE).option("mode", "DROPMALFORMED").json(path).where("id is not null")
+    return spark.read.schema(PUZZLE).option("mode", "DROPMALFORMED").option("multiLine", not lines).json(path).where("id is not null")
 
 
 def write_manifest(puzzles: DataFrame, path: str) -> None:

@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import accepted, taps, upsert
+from ..shipping import shared_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
-
-
 def stream_fills(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_a_trigger: int = 1, out: str | None = None) -> DataFrame:
     """(puzzle, region, fill, ord) after all events of a folder have been read as a stream.
 
