@@ -54,32 +54,43 @@ class CentroidGraph:
         return cls(c, np.concatenate([near, far], axis=1) if k > 1 else np.zeros((1, 1), int), np.unique(rng.integers(0, k, min(k, 32))))
 
     def search(self, q: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the ``breadth`` nearest centroids that a best-first walk finds, nearest first, for each row."""
+        """Ids and distances of the ``breadth`` nearest centroids that a best-first walk finds, nearest first, for each row; id 0 at an
+        infinite distance where it finds fewer.
+
+        A row keeps its ``breadth`` nearest so far. In each step the nearest of these not yet followed are, and what they link to competes
+        for a place, so a step costs as much as the frontier is broad, however many centroids there are."""
         m, k = len(q), len(self.centroids)
         breadth = min(breadth, k)
         seen = np.zeros((m, k), bool)
-        dist = np.full((m, k), np.inf)
-        done = np.zeros((m, k), bool)
-
-        def visit(rows: np.ndarray, ids: np.ndarray) -> None:
-            fresh = ~seen[rows, ids]
-            rows, ids = rows[fresh], ids[fresh]
-            seen[rows, ids] = True
-            dist[rows, ids] = np.sqrt(((q[rows] - self.centroids[ids]) ** 2).sum(axis=1))
+        dist, ids, ahead = np.full((m, breadth), np.inf), np.zeros((m, breadth), np.int64), np.zeros((m, breadth), bool)
+        at_once = 1 if breadth <= 64 else 4
+
+        def meet(rows: np.ndarray, others: np.ndarray) -> None:
+            others = np.sort(others, axis=1)
+            new = ~seen[rows[:, None], others]
+            new[:, 1:] &= others[:, 1:] != others[:, :-1]
+            seen[rows[:, None], others] = True
+            a, b = np.nonzero(new)
+            d = np.full(others.shape, np.inf)
+            d[a, b] = np.sqrt(((q[rows[a]] - self.centroids[others[a, b]]) ** 2).sum(axis=1))
+            every = np.concatenate([dist[rows], d], axis=1)
+            stay = np.argpartition(every, breadth - 1, axis=1)[:, :breadth]
+            pick = lambda x, y: np.take_along_axis(np.concatenate([x[rows], y], axis=1), stay, axis=1)
+            dist[rows], ids[rows], ahead[rows] = np.take_along_axis(every, stay, axis=1), pick(ids, others), pick(ahead, new)
 
-        visit(np.repeat(np.arange(m), len(self.entries)), np.tile(self.entries, m))
         alive = np.arange(m)
+        meet(alive, np.tile(self.entries, (m, 1)))
         while len(alive):
-            open_d = np.where(done[alive], np.inf, dist[alive])
-            best = open_d.argmin(axis=1)
-            kth = np.partition(dist[alive], breadth - 1, axis=1)[:, breadth - 1]
-            go = open_d[np.arange(len(alive)), best] <= np.where(np.isinf(kth), 1e300, kth)
+            left = np.where(ahead[alive], dist[alive], np.inf)
+            best = np.argpartition(left, at_once - 1, axis=1)[:, :at_once]
+            go = np.isfinite(np.take_along_axis(left, best, axis=1)).any(axis=1)
             alive, best = alive[go], best[go]
-            done[alive, best] = True
-            near = self.links[best]
-            visit(np.repeat(alive, near.shape[1]), near.ravel())
-        order = np.argsort(dist, axis=1, kind="stable")[:, :breadth]
-        return order, np.take_along_axis(dist, order, axis=1)
+            follow = np.take_along_axis(ids[alive], best, axis=1)
+            ahead[alive[:, None], best] = False
+            if len(alive):
+                meet(alive, self.links[follow].reshape(len(alive), -1))
+        order = np.argsort(dist, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
 
 def _sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,13 +104,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) with v as doubles: rows with an id and a vector that isn't null, empty or zero and holds only finite
-    components, of the table's commonest length. Rows repeated under one id count once."""
+    components, of the table's commonest length. Rows repeated under one id count once; of different vectors under one id the smallest
+    (by its components in order) counts."""
     v = F.col(vector_col).cast("array<double>")
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and x = x and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     )
     lengths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return good.where(F.size("v") == (lengths[0]["d"] if lengths else 0)).dropDuplicates(["vec_id"])
+    return good.where(F.size("v") == (lengths[0]["d"] if lengths else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def fit(vectors: DataFrame, seed: int = 7) -> CentroidGraph | None:

@@ -278,3 +278,25 @@ def test_span_offsets_on_repeated_rows(spark):
     d = docs_of(spark, ["ab 12 cd 34"]).union(docs_of(spark, ["ab 12 cd 34"]))
     got = spans.find(d, {"n": (F.lit(True), "[0-9]+")}).collect()
     assert sorted((r.start, r.end, r.value) for r in got) == [(3, 5, "12"), (9, 11, "34")]
+
+
+def test_centroid_walk_against_all_distances():
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 70, 900):
+        graph = ann.CentroidGraph.fit(rng.normal(size=(max(k, 500), 8)), k, rounds=2)
+        q = rng.normal(size=(40, 8))
+        exact = np.sqrt(((q[:, None] - graph.centroids[None]) ** 2).sum(axis=2))
+        for breadth in (1, 16, 200):
+            ids, d = graph.search(q, breadth)
+            assert ids.shape == d.shape == (40, min(k, breadth)) and (np.diff(d, axis=1) >= 0).all()
+            assert np.allclose(np.take_along_axis(exact, ids, axis=1)[np.isfinite(d)], d[np.isfinite(d)])
+            assert all(len(set(i[np.isfinite(x)])) == np.isfinite(x).sum() for i, x in zip(ids, d, strict=True))
+            if breadth > 1:
+                assert (d[:, 0] <= exact.min(axis=1) + 1e-12).mean() > 0.95
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(1, [9.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [9.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(v, v.where("vec_id = 2")).orderBy("rank").collect()]
+    assert got == [(2, 1, 1, 1.0), (2, 2, 3, 8.0)]
