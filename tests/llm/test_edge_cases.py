@@ -273,7 +273,7 @@ def test_operators_take_odd_rows(spark, tmp_path, strange):
     spark.createDataFrame([(3, 1, 0), (None, 1, 1), (6, None, 1), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "a b c d e f"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, query in Q.queries().items():
-        if name != "op7_neighbours":
+        if name.split("_")[0] not in ("op7", "op11", "op12", "op13"):  # those that read documents
             got = collections.Counter(r.doc_id for r in query(spark, str(tmp_path)).select("doc_id").collect())
             want = {i: n for i, n in full.items() if i is not None} if name == "op3_jaccard" else full
             assert (set(got) == set(want)) if name == "op6_shards" else (got == want), name
