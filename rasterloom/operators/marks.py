@@ -58,9 +58,9 @@ def box_means(px: DataFrame, columns: list[str], width: int, to: tuple[int, int]
     return both.groupBy("img", "ox", "oy").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns))
 
 
-def strokes(points: DataFrame, radius: int, frame: DataFrame) -> DataFrame:
-    """(img, x, y) under a round brush along the closed line through the points (img, i, x, y) of each image, in the order of i."""
-    w = Window.partitionBy("img").orderBy("i")
+def strokes(points: DataFrame, radius: int, frame: DataFrame, by: tuple[str, ...] = ("img",), order: str = "i") -> DataFrame:
+    """(img, x, y) under a round brush along the closed line through the points (x, y) of each ``by`` (img first), in ``order``."""
+    w = Window.partitionBy(*by).orderBy(order)
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = [F.coalesce(F.lead(c).over(w), F.first(c).over(every)).alias(f"{c}1") for c in "xy"]
     line = points.select("img", "x", "y", *ends).withColumns({"dx": F.col("x1") - F.col("x"), "dy": F.col("y1") - F.col("y")})

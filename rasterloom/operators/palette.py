@@ -1,23 +1,38 @@
-"""Palettes: seeded k-means in Lab, and nearest-colour assignment as joins with a small palette."""
+"""Palettes: seeded k-means in Lab over relations, and nearest-colour assignment as joins with a small palette.
+
+Every image (or other group ``img``) runs its own k-means, all of them in the same rounds. No image's samples meet in one task: draws are made on running sums of
+blocks of samples, then within the one block that a draw falls into, and each Lloyd step is one aggregate by image and colour. Images whose colours have
+settled leave the loop. Rounds are cut off by checkpoints in the shared folder.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.random import random32
+from ..shipping import cut
+
 MAX_SAMPLES, MAX_ITERATIONS, CONVERGED_SQ, DUPLICATE, SEED = 80_000, 20, 0.0025, 2.0, 0x9E3779B9
+BLOCK = 512
+LAB = ("l", "a", "b")
 
 
 def nearest(value: Column, palette: Column) -> Column:
     """Index of the nearest (idx, l, a, b) entry of an array to an (l, a, b) struct; ties go to the lowest index."""
-    d = lambda c: sum((value[k].cast("double") - c[k].cast("double")) * (value[k].cast("double") - c[k].cast("double")) for k in ("l", "a", "b"))
-    return F.array_min(F.transform(palette, lambda c: F.struct(d(c).alias("d"), c["idx"].alias("idx"))))["idx"]
+    return F.array_min(F.transform(palette, lambda c: F.struct(apart(value, c).alias("d"), c["idx"].alias("idx"))))["idx"]
+
+
+def apart(x: Column, y: Column) -> Column:
+    """Squared distance of two (l, a, b) structs."""
+    return sum((x[k].cast("double") - y[k].cast("double")) * (x[k].cast("double") - y[k].cast("double")) for k in LAB)
 
 
 def palette_arrays(centroids: DataFrame, *keys: str) -> DataFrame:
     """A row for each image (and part) with its palette as one array; a palette has some dozens of entries."""
-    return centroids.groupBy("img", *keys).agg(F.array_sort(F.collect_list(F.struct("idx", "l", "a", "b"))).alias("palette"))
+    return centroids.groupBy("img", *keys).agg(F.array_sort(F.collect_list(F.struct("idx", *LAB))).alias("palette"))
 
 
 def assign(pixels: DataFrame, centroids: DataFrame, part: str | None = None) -> DataFrame:
@@ -29,81 +44,80 @@ def assign(pixels: DataFrame, centroids: DataFrame, part: str | None = None) ->
 
 def lloyd_step(pixels: DataFrame) -> DataFrame:
     """Mean colour of each (img, idx): one step of k-means after ``assign``."""
-    return pixels.groupBy("img", "idx").agg(*(F.avg(F.col(f"lab.{c}").cast("double")).alias(c) for c in ("l", "a", "b")), F.count(F.lit(1)).alias("n"))
-
-
-class Random32:
-    """The seeded 32-bit generator that makes palettes reproducible."""
-
-    def __init__(self, seed: int = SEED):
-        self.state = seed & 0xFFFFFFFF
-
-    def __call__(self) -> float:
-        mul = lambda a, b: (a * b) & 0xFFFFFFFF
-        self.state = (self.state + 0x6D2B79F5) & 0xFFFFFFFF
-        t = self.state
-        t = mul(t ^ (t >> 15), t | 1)
-        t ^= (t + mul(t ^ (t >> 7), t | 61)) & 0xFFFFFFFF
-        return ((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296
-
-
-def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    d = x.astype(np.float64) - c.astype(np.float64)
-    return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-
-
-def _draw(weights: np.ndarray, target: float) -> int:
-    """The first element at which the running sum reaches the target; the last one if rounding keeps it from that."""
-    reached = np.flatnonzero(target - np.cumsum(weights.astype(np.float64)) <= 0)
-    return int(reached[0]) if len(reached) else -1
-
-
-def spread_start(x: np.ndarray, k: int, draw: Random32) -> np.ndarray:
-    """k-means++ starting points."""
-    first = max(0, _draw(np.ones(len(x)), draw() * len(x)))
-    out = [x[first]]
-    least = np.full(len(x), np.inf, np.float32)
-    while len(out) < k:
-        least = np.minimum(least, _far(x, out[-1]).astype(np.float32))
-        total = float(np.cumsum(least.astype(np.float64))[-1])
-        if total == 0:
-            out.append(out[0])
-        else:
-            at = _draw(least, draw() * total)
-            out.append(x[at if at >= 0 else len(x) - 1])
-    return np.array(out, np.float32)
-
-
-def kmeans(x: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
-    """Palette of float32 Lab rows: every stride-th sample, seeded start, Lloyd steps, near-equal colours merged. No rows give none."""
-    if not len(x):
-        return np.empty((0, 3), np.float32)
-    x = x[:: max(1, len(x) // MAX_SAMPLES)].astype(np.float32)
-    k = min(k, len(x))
-    c = spread_start(x, k, Random32(seed))
-    count = np.zeros(k)
+    return pixels.groupBy("img", "idx").agg(*(F.avg(F.col(f"lab.{c}").cast("double")).alias(c) for c in LAB), F.count(F.lit(1)).alias("n"))
+
+
+def samples(pixels: DataFrame, order: str = "i", limit: int = MAX_SAMPLES) -> DataFrame:
+    """(img, j, block, lab, n): every stride-th pixel of each image by ``order``, at most about ``limit`` of them, numbered from 0; n is their number. ``pixels`` has img, ``order`` and
+    the floats l, a, b.
+
+    Pixels are numbered by blocks of ``order``: their counts, running sums over the few blocks, then places within a block."""
+    width = BLOCK * 8
+    px = pixels.select("img", F.floor(F.col(order) / width).alias("_b"), F.col(order).alias("_o"), F.struct(*(F.col(c).cast("float").alias(c) for c in LAB)).alias("lab"))
+    per = px.groupBy("img", "_b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("img")
+    before = per.select("img", "_b", (F.sum("c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("base"), F.sum("c").over(w).alias("all"))
+    at = F.col("base") + F.row_number().over(Window.partitionBy("img", "_b").orderBy("_o")) - 1
+    stride = F.greatest(F.lit(1), F.floor(F.col("all") / limit))
+    kept = px.join(before, ["img", "_b"]).withColumns({"at": at, "stride": stride}).where(F.col("at") % F.col("stride") == 0)
+    j = F.floor(F.col("at") / F.col("stride"))
+    return kept.select("img", j.alias("j"), F.floor(j / BLOCK).alias("block"), "lab", F.ceil(F.col("all") / F.col("stride")).alias("n"))
+
+
+def spread_start(x: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """(img, idx, lab): k-means++ starting points of samples (img, j, block, lab, n), min(k, n) for each image.
+
+    The first one is drawn evenly, each further one with a weight of its squared distance (a float) to those before, as the first sample at which the running sum
+    reaches a share of the total. If all weights are 0 the first point comes again; if rounding keeps the sum from its target the last sample is taken."""
+    draw = lambda i: random32(F.lit(seed), F.lit(i))
+    first = F.greatest(F.lit(0), F.ceil(draw(0) * F.col("n")).cast("bigint") - 1)
+    chosen = cut(x.where(F.col("j") == first).select("img", F.lit(0).alias("idx"), "lab"))
+    out, least = [chosen], x.withColumn("least", F.lit(float("inf")).cast("float"))
+    w = Window.partitionBy("img").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("img", "block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    for i in range(1, k):
+        last = chosen.select("img", F.col("lab").alias("c"))
+        near = F.least(F.col("least"), apart(F.col("lab"), F.col("c")).cast("float"))
+        least = cut(least.join(last, "img").where(F.col("n") > i).withColumn("least", near).drop("c"))
+        sums = least.groupBy("img", "block").agg(F.sum(F.col("least").cast("double")).alias("s"), F.max("j").alias("end"), F.max("n").alias("n"))
+        run = sums.withColumn("upto", F.sum("s").over(w))
+        all_of = run.groupBy("img").agg(F.max("upto").alias("total"))
+        goal = run.join(all_of, "img").withColumn("target", draw(i) * F.col("total"))
+        hit = goal.groupBy("img", "total", "target", "n").agg(F.min(F.when(F.col("upto") >= F.col("target"), F.struct("block", (F.col("upto") - F.col("s")).alias("base")))).alias("h"))
+        hit = hit.select("img", "total", "target", F.col("h.base").alias("base"), F.coalesce(F.col("h.block"), F.floor((F.col("n") - 1) / BLOCK)).alias("block"))
+        within = least.join(hit, ["img", "block"]).withColumn("upto", F.col("base") + F.sum(F.col("least").cast("double")).over(inside))
+        reached = F.min(F.when(F.col("upto") >= F.col("target"), F.struct("j", "lab")))
+        found = within.groupBy("img", "total").agg(F.coalesce(reached, F.max(F.struct("j", "lab"))).alias("m"))
+        again = out[0].select("img", F.col("lab").alias("lab0"))
+        chosen = cut(found.join(again, "img").select("img", F.lit(i).alias("idx"), F.when(F.col("total") == 0, F.col("lab0")).otherwise(F.col("m.lab")).alias("lab")))
+        out.append(chosen)
+    return reduce(DataFrame.union, out)
+
+
+def distinct_colors(palette: Column, near: float = DUPLICATE) -> Column:
+    """The entries (idx, l, a, b, n) of an array that have pixels and are not within ``near`` of one kept before them, in order; the first entry if none is left."""
+    far = lambda kept, c: ~F.exists(kept, lambda o: apart(o, c) < near * near)
+    none = F.filter(palette, lambda _: F.lit(False))
+    kept = F.aggregate(palette, none, lambda acc, c: F.when((c["n"] > 0) & far(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(palette, 1, 1))
+
+
+def kmeans(pixels: DataFrame, k: int, seed: int = SEED, order: str = "i") -> DataFrame:
+    """(img, idx, l, a, b as floats): the palette of each image of ``pixels`` (img, ``order``, l, a, b): seeded start, at most ``MAX_ITERATIONS`` Lloyd steps until no colour moves by
+    more than the limit, near-equal colours merged into the first. Images without pixels have none."""
+    x = cut(samples(pixels, order))
+    book = cut(spread_start(x, k, seed).select("img", "idx", *(F.col(f"lab.{c}").alias(c) for c in LAB), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("done")))
+    settled = []
     for _ in range(MAX_ITERATIONS):
-        own = np.stack([_far(x, m) for m in c], 1).argmin(1)
-        count = np.bincount(own, minlength=k)
-        total = np.stack([np.bincount(own, x[:, j].astype(np.float64), k) for j in range(3)], 1)
-        used = count > 0
-        mean = np.where(used[:, None], total / np.maximum(count, 1)[:, None], c)
-        moved = ((mean - c.astype(np.float64)) ** 2).sum(1).max()
-        c = mean.astype(np.float32)
-        if moved < CONVERGED_SQ:
+        mean = lloyd_step(assign(x.select("img", "lab"), book)).select("img", "idx", *(F.col(c).alias(f"m{c}") for c in LAB), F.col("n").alias("m"))
+        step = book.join(mean, ["img", "idx"], "left")
+        to = [F.coalesce(f"m{c}", F.col(c).cast("double")) for c in LAB]
+        moved = F.max(sum((t - F.col(c).cast("double")) * (t - F.col(c).cast("double")) for t, c in zip(to, LAB, strict=True))).over(Window.partitionBy("img"))
+        book = cut(step.select("img", "idx", *(t.cast("float").alias(c) for t, c in zip(to, LAB, strict=True)), F.coalesce("m", F.lit(0)).alias("n"), (moved < CONVERGED_SQ).alias("done")))
+        settled.append(book.where("done"))
+        book = book.where("not done")
+        if not book.limit(1).count():
             break
-    kept: list[int] = []
-    for i in range(k):
-        if count[i] and not any(_far(c[i : i + 1], c[j])[0] < DUPLICATE**2 for j in kept):
-            kept.append(i)
-    return c[kept or [0]]
-
-
-def assign_grid(lab: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Nearest centroid of each pixel of a (h, w, 3) image; ties go to the lowest index."""
-    flat = lab.reshape(-1, 3)
-    best, least = np.zeros(len(flat), np.int64), np.full(len(flat), np.inf)
-    for i, m in enumerate(c):
-        d = _far(flat, m)
-        best, least = np.where(d < least, i, best), np.minimum(d, least)
-    return best.reshape(lab.shape[:2])
+    last = reduce(DataFrame.union, [*settled, book])
+    arrays = last.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("idx", *LAB, "n"))).alias("palette"))
+    return arrays.select("img", F.posexplode(distinct_colors(F.col("palette"))).alias("idx", "c")).select("img", "idx", *(F.col(f"c.{c}").alias(c) for c in LAB))

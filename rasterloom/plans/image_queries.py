@@ -8,14 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixtures import ORD, ORD_SQL, PART, r_ord, r_part
+from ..fixtures import ORD, ORD_SQL, PART, PART_SQL, r_ord, r_part
 from ..functions import color as C
 from ..functions import random
-from ..operators import contour, grid, marks, smoothing
+from ..operators import borders, grid, marks, smoothing
+from ..operators import palette as P
 from ..operators import regions as R
 from ..operators.merge import RegionGraph, merge_regions
-from ..operators.palette import kmeans
-from ..operators.rows import loops, stacked
 from ..operators.state import build_plan
 from ..shipping import cut, shared_folder
 from ..sources import rasters
@@ -71,13 +70,11 @@ def w2(s, d):
     return rounded(smoothing.bilateral(once, list("lab"), 11.0))
 
 
-@query("w3_downscale", f"with {ORD_SQL}, t as (select distinct img, cast(ox as int) ox, cast(oy as int) oy from (select img from ord), range(50) a(ox), range(16) b(oy)) select t.img, cast(t.oy * 50 + t.ox as bigint) i, round(avg(o.r), 3) v from t join ord o on o.img = t.img and o.x >= floor(t.ox * 125 / 50.0) and o.x < ceil((t.ox + 1) * 125 / 50.0) and o.y >= floor(t.oy * 40 / 16.0) and o.y < ceil((t.oy + 1) * 40 / 16.0) group by t.img, t.ox, t.oy")
+@query("w3_downscale", f"""with {ORD_SQL}, t as (select img, h, cast(ox as int) ox, cast(oy as int) oy from (select img, max(y) + 1 h from ord group by img), range(50) a(ox), range(16) b(oy))
+select t.img, cast(t.oy * 50 + t.ox as bigint) i, round(avg(o.r), 3) v from t join ord o on o.img = t.img and o.x >= floor(t.ox * 125 / 50.0) and o.x < ceil((t.ox + 1) * 125 / 50.0) and o.y >= floor(t.oy * h / 16.0) and o.y < ceil((t.oy + 1) * h / 16.0) group by t.img, t.ox, t.oy""")
 def w3(s, d):
-    px = r_ord(s, d)
-    # the boxes that hold a pixel: from the first whose end is beyond it to the last that begins at or before it
-    span = lambda c, n, m: F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda o: (F.floor(o * n / float(m)) <= c) & (F.ceil((o + 1) * n / float(m)) > c))
-    near = px.select("img", "r", F.explode(span(F.col("x"), ORD[0], 50)).alias("ox"), "y").select("img", "r", "ox", F.explode(span(F.col("y"), ORD[1], 16)).alias("oy"))
-    return near.groupBy("img", "ox", "oy").agg(F.avg("r").alias("v")).select("img", (F.col("oy") * 50 + F.col("ox")).cast("bigint").alias("i"), F.round("v", 3).alias("v"))
+    low = marks.box_means(r_ord(s, d), ["r"], ORD[0], (50, 16))
+    return low.select("img", (F.col("oy") * 50 + F.col("ox")).cast("bigint").alias("i"), F.round("r", 3).alias("v"))
 
 
 @query("w4_guided_upsample", f"""with {ORD_SQL}, {LAB_SQL}, hs as (select img, max(y) + 1 h from ord group by img),
@@ -106,9 +103,6 @@ def s12(s, d):
     return low.select("img", (F.col("oy") * SMALL_SIZE[0] + F.col("ox")).cast("bigint").alias("i"), *(F.round(F.col(c).cast("float").cast("double"), 2).alias(c) for c in "lab"))
 
 
-MASK = "img bigint, i bigint, x int, y int"
-
-
 CHAIN_SQL = """c as (select img, i, x, y, i root from px union select q.img, q.i, q.x, q.y, c.root from c join px q on q.img = c.img and abs(q.x - c.x) <= 1 and abs(q.y - c.y) <= 1 and c.root < q.i),
 m as (select img, i, x, y, min(root) root from c group by all),
 k as (select img, root, count(*) n, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) box from m group by all)"""
@@ -193,13 +187,57 @@ def p19(s, d):
     return draws.select("img", "k", random.random32(F.col("seed"), F.col("k")).alias("u"))
 
 
-@query("g10_g11_g12_palette")
-def g12(s, d):
-    def f(g):
-        c = kmeans(stacked(g)[g["valid"]], 8).astype(float)
-        return {"idx": np.arange(len(c)), "l": c[:, 0].round(3), "a": c[:, 1].round(3), "b": c[:, 2].round(3)}
+def start_sql(k: int, seed: int = P.SEED) -> str:
+    """CTEs of the seeded start over x (img, j, l, a, b): s0, s1, ... hold (img, l, a, b) of each starting point, d1, d2, ... the weights."""
+    draw = lambda i: f"(select (xor(t, t >> 14) / 4294967296::double) from (select xor(t, (t + cast((xor(t, t >> 7)::hugeint * (t | 61)) % 4294967296 as bigint)) % 4294967296) t from (select cast((xor(a, a >> 15)::hugeint * (a | 1)) % 4294967296 as bigint) t from (select ({seed} + {i + 1}::bigint * {random.STEP}) % 4294967296 a))))"
+    far = lambda c: f"(x.l - {c}.l) ** 2 + (x.a - {c}.a) ** 2 + (x.b - {c}.b) ** 2"
+    steps = [f"s0 as materialized (select x.img, l, a, b from x join (select img, count(*) n from x group by img) using (img) where j = greatest(0, cast(ceil({draw(0)} * n) as bigint) - 1))"]
+    for i in range(1, k):
+        least = f"least(d.w, cast({far(f's{i - 1}')} as float))" if i > 1 else f"cast({far('s0')} as float)"
+        steps.append(f"""d{i} as materialized (select x.*, {least} w from x join s{i - 1} on s{i - 1}.img = x.img {f'join d{i - 1} d on d.img = x.img and d.j = x.j' if i > 1 else ''}),
+r{i} as (select *, sum(w::double) over (partition by img order by j) upto, sum(w::double) over (partition by img) total, max(j) over (partition by img) top from d{i}),
+s{i} as materialized (select r.img, case when r.total = 0 then s0.l else r.l end l, case when r.total = 0 then s0.a else r.a end a, case when r.total = 0 then s0.b else r.b end b from r{i} r join s0 using (img)
+ join (select img, coalesce(min(j) filter (upto >= {draw(i)} * total), max(top)) j from r{i} group by img) h on h.img = r.img and h.j = r.j)""")
+    return ",\n".join(steps)
+
+
+START_SQL = f"{ORD_SQL}, {LAB_SQL}, x as materialized (select img, row_number() over (partition by img order by i) - 1 j, l::double l, a::double a, bb::double b from lab), {start_sql(8)}"
+
+
+def colors_of(df: DataFrame) -> DataFrame:
+    return df.select("img", F.col("idx").cast("int").alias("idx"), *(F.round(F.col(c).cast("double"), 3).alias(c) for c in "lab"))
 
-    return grid.per_image(lab_rows(s, d), ORD, list("lab"), f, "img bigint, idx int, l double, a double, b double")
+
+@query("g10_spread_start", f"with {START_SQL} select img, idx, round(l, 3) l, round(a, 3) a, round(b, 3) b from ({' union all '.join(f'select img, {i} idx, l, a, b from s{i}' for i in range(8))})")
+def g10(s, d):
+    start = P.spread_start(P.samples(lab_rows(s, d)), 8)
+    return colors_of(start.select("img", "idx", "lab.*"))
+
+
+@query("g11_distinct_colors", f"""with recursive {ORD_SQL}, {LAB_SQL}, c as (select img, list({{'idx': i, 'l': l::double, 'a': a::double, 'b': bb::double}} order by i) p from lab where i % 25 = 0 group by img),
+f as (select img, p, 1 k, cast([] as struct(idx bigint, l double, a double, b double)[]) kept from c
+ union all select img, p, k + 1, case when len(list_filter(kept, lambda o: (o.l - p[k].l) ** 2 + (o.a - p[k].a) ** 2 + (o.b - p[k].b) ** 2 < 144)) = 0 then list_append(kept, p[k]) else kept end from f where k <= len(p))
+select img, c.idx i from (select img, unnest(kept) c from f where k = len(p) + 1)""")
+def g11(s, d):
+    """Of every 25th pixel's colour, those that are farther than 12 from all kept before them."""
+    every = lab_rows(s, d).where("i % 25 = 0").groupBy("img").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("idx"), *"lab", F.lit(1).cast("bigint").alias("n")))).alias("p"))
+    return every.select("img", F.explode(P.distinct_colors(F.col("p"), 12.0)).alias("c")).select("img", F.col("c.idx").alias("i"))
+
+
+@query("g10_g11_g12_palette", f"""with recursive {START_SQL},
+b0 as materialized ({' union all '.join(f'select img, {i} idx, l, a, b from s{i}' for i in range(8))}),
+it as (select img, 0 t, false done, list({{'idx': idx, 'l': l, 'a': a, 'b': b, 'n': 0::bigint}} order by idx) p from b0 group by img
+ union all select img, t + 1, max(moved) < {P.CONVERGED_SQ}, list({{'idx': idx, 'l': l, 'a': a, 'b': b, 'n': n}} order by idx) from (
+  select it.img, t, c.idx, coalesce(n, 0) n, cast(coalesce(ml, c.l) as float)::double l, cast(coalesce(ma, c.a) as float)::double a, cast(coalesce(mb, c.b) as float)::double b, (coalesce(ml, c.l) - c.l) ** 2 + (coalesce(ma, c.a) - c.a) ** 2 + (coalesce(mb, c.b) - c.b) ** 2 moved
+  from (select img, t, unnest(p) c from it where not done) it left join (
+   select img, idx, count(*) n, avg(l) ml, avg(a) ma, avg(b) mb from (select x.img, x.l, x.a, x.b, list_min(list_transform(p, lambda c: {{'d': (x.l - c.l) ** 2 + (x.a - c.a) ** 2 + (x.b - c.b) ** 2, 'idx': c.idx}})).idx idx from it join x on x.img = it.img where not done) group by img, idx) m on m.img = it.img and m.idx = c.idx) where t < {P.MAX_ITERATIONS} group by img, t),
+z as (select img, p from it where done or t = {P.MAX_ITERATIONS}),
+f as (select img, p, 1 k, cast([] as struct(idx int, l double, a double, b double, n bigint)[]) kept from z
+ union all select img, p, k + 1, case when p[k].n > 0 and len(list_filter(kept, lambda o: (o.l - p[k].l) ** 2 + (o.a - p[k].a) ** 2 + (o.b - p[k].b) ** 2 < {P.DUPLICATE**2})) = 0 then list_append(kept, p[k]) else kept end from f where k <= len(p)),
+e as (select img, case when len(kept) > 0 then kept else p[1:1] end kept from f where k = len(p) + 1)
+select img, cast(idx as int) idx, round(c.l, 3) l, round(c.a, 3) a, round(c.b, 3) b from (select img, unnest(range(len(kept))) idx, unnest(kept) c from e)""")
+def g12(s, d):
+    return colors_of(P.kmeans(lab_rows(s, d), 8))
 
 
 @query("g5_g6_g7_g8_g9_merge_regions")
@@ -215,27 +253,103 @@ def g9(s, d):
     return grid.per_image(r_part(s, d), PART, ["idx"], f, "img bigint, i bigint, root bigint")
 
 
-LOOPS = "img bigint, loop int, k int, px double, py double"
+def loops_sql(raster: str, set_if: str, width: int, least: int) -> str:
+    """CTEs of the borders of a mask: m (pixels with roots), ln (chosen loops), bd (img, loop, k, x, y)."""
+    return f"""fm as (select img, max(y) + 1 h from {raster} group by img),
+fx as (select img, h, unnest(range(h)) y from fm),
+fl as (select img, h, y, unnest(range({width})) x from fx),
+px as materialized (select fl.img, cast(fl.y * {width} + fl.x as bigint) i, fl.x, fl.y, fl.h, coalesce(cast({set_if} as int), 0) v from fl left join {raster} q on q.img = fl.img and q.x = fl.x and q.y = fl.y),
+cc as (select img, i, x, y, v, i root from px union select q.img, q.i, q.x, q.y, q.v, cc.root from cc join px q on q.img = cc.img and q.v = cc.v and abs(q.x - cc.x) + abs(q.y - cc.y) = 1 and cc.root < q.i),
+m as materialized (select img, i, x, y, v, min(root) root from cc group by all),
+lp as (select m.img, root, v, count(*) area, bool_or(x = 0 or y = 0 or x = {width - 1} or y = h - 1) edge from m join fm using (img) group by all),
+ln as materialized (select img, row_number() over (partition by img order by root) - 1 loop, root, area, v = 0 hole from lp where area >= {least} and (v = 1 or not edge)),
+tn(d, dx, dy, behind) as (values {", ".join(str((d, *borders.AROUND[d], borders.BEHIND[d])) for d in range(8))}),
+cd as materialized (select p.img, p.root, p.i, p.x, p.y, coalesce(sum(1 << d) filter (q.i is not null), 0) code from (select m.*, d, m.x + dx nx, m.y + dy ny from m semi join ln using (img, root), tn) p left join m q on q.img = p.img and q.root = p.root and q.x = p.nx and q.y = p.ny group by all),
+wk as (select ln.img, loop, ln.root, cd.i, cd.x, cd.y, 0 back, 0 k from ln join cd on cd.img = ln.img and cd.i = ln.root
+ union all select s.img, loop, s.root, q.i, q.x, q.y, behind, k + 1 from (select wk.*, list_filter(list_transform(range(1, 9), lambda t: (back + t) % 8), lambda d: (code >> d) & 1 = 1)[1] d from wk join cd using (img, i)) s join tn on tn.d = s.d join cd q on q.img = s.img and q.x = s.x + dx and q.y = s.y + dy and q.root = s.root where q.i <> s.root),
+bd as materialized (select img, loop, k, x, y from wk)"""
+
+
+def simplify_sql(epsilon: float) -> str:
+    """CTE sm (img, loop, k, x, y): what Douglas-Peucker keeps of bd."""
+    return f"""nn as (select b.img, b.loop, count(*) n, max({{'d': (b.x - f.x) ** 2 + (b.y - f.y) ** 2, 'k': -b.k}}) m from bd b join bd f on f.img = b.img and f.loop = b.loop and f.k = 0 group by all),
+ds as materialized (select img, loop, k, x, y, n from bd join nn using (img, loop) union all select img, loop, n, x, y, n from bd join nn using (img, loop) where k = 0),
+ar as (select img, loop, n, unnest([0, -m.k]) a, unnest([-m.k, n]) b from nn where n > 4 and m.k < 0
+ union all select img, loop, n, unnest([a, -m.k]), unnest([-m.k, b]) from (select ar.img, ar.loop, ar.n, a, b, max({{'d': case when (t.x - s.x) ** 2 + (t.y - s.y) ** 2 = 0 then (p.x - s.x) ** 2 + (p.y - s.y) ** 2 else ((p.x - s.x) * (t.y - s.y) - (p.y - s.y) * (t.x - s.x)) ** 2 / ((t.x - s.x) ** 2 + (t.y - s.y) ** 2)::double end, 'k': -p.k}}) m
+ from ar join ds s on s.img = ar.img and s.loop = ar.loop and s.k = a join ds t on t.img = ar.img and t.loop = ar.loop and t.k = b join ds p on p.img = ar.img and p.loop = ar.loop and p.k > a and p.k < b group by all) where m.d > {epsilon}::double * {epsilon}::double),
+sm as materialized (select img, loop, k, x::double x, y::double y from bd join nn using (img, loop) where n <= 4 or m.k = 0 or (img, loop, k) in (select (img, loop, a) from ar))"""
 
 
-@query("k6_k7_contours")
+def corners_sql(rounds: int) -> str:
+    """CTEs c0, c1, ...: sm after each round of corner cutting."""
+    steps = ["c0 as (select img, loop, row_number() over (partition by img, loop order by k) - 1 k, x, y from sm)"]
+    for r in range(rounds):
+        w = "over (partition by img, loop order by k)"
+        steps.append(f"""t{r} as (select *, count(*) over (partition by img, loop) n, coalesce(lag(x) {w}, last_value(x) over (partition by img, loop order by k rows between unbounded preceding and unbounded following)) px, coalesce(lag(y) {w}, last_value(y) over (partition by img, loop order by k rows between unbounded preceding and unbounded following)) py,
+ coalesce(lead(x) {w}, first_value(x) {w}) nx, coalesce(lead(y) {w}, first_value(y) {w}) ny from c{r}),
+u{r} as (select *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) * sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) s, (x - px) * (nx - x) + (y - py) * (ny - y) dot from t{r}),
+q{r} as (select img, loop, k, unnest(case when n < 3 or (s > 0 and dot / s < cos(radians({borders.SHARP}))) then [{{'s': 0, 'x': x, 'y': y}}] else [{{'s': 0, 'x': x + 0.25::double * (px - x), 'y': y + 0.25::double * (py - y)}}, {{'s': 1, 'x': x + 0.25::double * (nx - x), 'y': y + 0.25::double * (ny - y)}}] end) q from u{r}),
+c{r + 1} as (select img, loop, row_number() over (partition by img, loop order by k, q.s) - 1 k, q.x x, q.y y from q{r})""")
+    return ",\n".join(steps)
+
+
+PART_LOOPS = f"{PART_SQL}, {loops_sql('prt', 'idx >= 2', PART[0], 6)}"
+
+
+def part_mask(s, d):
+    return borders.full_frame(r_part(s, d).withColumn("v", (F.col("idx") >= 2).cast("int")), "v", PART[0])
+
+
+def part_borders(s, d):
+    return borders.outlines(part_mask(s, d), "v", 6)
+
+
+def as_loops(df: DataFrame) -> DataFrame:
+    return df.select("img", F.col("loop").cast("int").alias("loop"), F.col("k").cast("int").alias("k"), *(F.round(F.col(c).cast("double"), 6).alias(f"p{c}") for c in "xy"))
+
+
+LOOPS_OUT = "select img, cast(loop as int) loop, cast(k as int) k, round(x::double, 6) px, round(y::double, 6) py from"
+
+
+@query("k6_k7_contours", f"with recursive {PART_LOOPS} {LOOPS_OUT} bd")
+def k6(s, d):
+    return as_loops(part_borders(s, d))
+
+
+@query("k7_loops", f"with recursive {PART_LOOPS} select ln.img, cast(loop as int) loop, ln.root, area, hole, case when hole then m.root end inside from ln left join m on m.img = ln.img and m.i = ln.root - {PART[0]}")
 def k7(s, d):
-    return grid.per_image(r_part(s, d), PART, ["idx"], lambda g: loops(g, lambda p: p), LOOPS)
+    px = borders.components(part_mask(s, d), "v")
+    return borders.loops(px, "v", 6).withColumn("loop", F.col("loop").cast("int"))
 
 
-@query("k8_simplified_contours")
+@query("k8_simplified_contours", f"with recursive {PART_LOOPS}, {simplify_sql(1.2)}, {corners_sql(0)} {LOOPS_OUT} c0")
 def k8(s, d):
-    return grid.per_image(r_part(s, d), PART, ["idx"], lambda g: loops(g, lambda p: contour.simplify(p, 1.2)), LOOPS)
+    kept = borders.simplified(part_borders(s, d), 1.2)
+    return as_loops(borders.corners_cut(kept, 0))
 
 
-@query("k9_smoothed_contours")
+@query("k9_smoothed_contours", f"with recursive {PART_LOOPS}, {simplify_sql(1.2)}, {corners_sql(2)} {LOOPS_OUT} c2")
 def k9(s, d):
-    return grid.per_image(r_part(s, d), PART, ["idx"], lambda g: loops(g, lambda p: contour.cut_corners(contour.simplify(p, 1.2), 2)), LOOPS)
+    return as_loops(borders.corners_cut(borders.simplified(part_borders(s, d), 1.2), 2))
+
+
+def silhouette(px: DataFrame, width: int, least: int = 200, epsilon: float = 2.2, rounds: int = 2, radius: int = 3) -> DataFrame:
+    """(img, i, x, y): a drawn outline of the subject of a confidence mask (conf over 128)."""
+    mask = borders.full_frame(px.withColumn("_v", (F.col("conf") > 128).cast("int")), "_v", width)
+    line = borders.corners_cut(borders.simplified(borders.outlines(mask, "_v", least), epsilon), rounds)
+    ink = marks.strokes(line, radius, R.frames(px), ("img", "loop"), "k")
+    return px.select("img", "i", "x", "y").join(ink, ["img", "x", "y"], "left_semi").select("img", "i", "x", "y")
 
 
-@query("k10_k11_silhouette")
+@query("k10_k11_silhouette", f"""with recursive {ORD_SQL}, {loops_sql('ord', 'conf > 128', ORD[0], 20)}, {simplify_sql(2.2)}, {corners_sql(2)},
+e as (select img, x, y, coalesce(lead(x) over w, first_value(x) over w) - x dx, coalesce(lead(y) over w, first_value(y) over w) - y dy from c2 window w as (partition by img, loop order by k)),
+sn as (select *, greatest(1, cast(ceil(sqrt(dx * dx + dy * dy)) as int)) n from e),
+st as (select *, unnest(range(n + 1)) k from sn),
+sp as (select distinct img, cast(floor(x + dx * (k / n::double) + 0.5) as int) x, cast(floor(y + dy * (k / n::double) + 0.5) as int) y from st),
+br as (select distinct img, cast(sp.x + u.o - 3 as int) x, cast(sp.y + v.o - 3 as int) y from sp, range(7) u(o), range(7) v(o) where (u.o - 3) ** 2 + (v.o - 3) ** 2 <= 9)
+select ord.img, i, x, y from ord semi join br using (img, x, y)""")
 def k11(s, d):
-    return grid.per_image(r_ord(s, d), ORD, ["conf"], lambda g: grid.rows_of({}, contour.silhouette(g["conf"], min_area=20) & g["valid"]), MASK)
+    return silhouette(r_ord(s, d), ORD[0], least=20)
 
 
 @query("k13_paint_strokes", f"""with {ORD_SQL}, hs as (select img, max(y) bottom, max(x) "right" from ord group by img),

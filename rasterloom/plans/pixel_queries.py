@@ -249,12 +249,15 @@ def a16(s, d):
     return lloyd_step(assign(px, cents(px))).select("img", "idx", *(F.round(c, 2).alias(c) for c in "lab"), "n")
 
 
-@query("j7_mask_resize", f"with {ORD_SQL}, t as (select distinct img, cast(x as int) x, cast(y as int) y from (select img from ord), range(200) a(x), range(64) b(y)) select t.img, t.x, t.y, conf from t join ord o on o.img = t.img and o.x = least(124, cast(floor(t.x / 200.0 * 125) as int)) and o.y = least(39, cast(floor(t.y / 64.0 * 40) as int))")
+@query("j7_mask_resize", f"with {ORD_SQL}, t as (select img, w, h, cast(x as int) x, cast(y as int) y from (select img, max(x) + 1 w, max(y) + 1 h from ord group by img), range(200) a(x), range(64) b(y)) select t.img, t.x, t.y, coalesce(conf, 0) conf from t left join ord o on o.img = t.img and o.x = least(w - 1, cast(floor(t.x / 200.0 * w) as int)) and o.y = least(h - 1, cast(floor(t.y / 64.0 * h) as int))")
 def j7(s, d):
+    """The mask at 200 x 64: every target pixel of every image takes the nearest source pixel of the image's own frame; where the source lacks one, 0."""
     px = r_ord(s, d)
-    target = px.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("tx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("ty"))
-    src = target.withColumns({"x": F.least(F.lit(124), F.floor(F.col("tx") / 200.0 * 125)).cast("int"), "y": F.least(F.lit(39), F.floor(F.col("ty") / 64.0 * 40)).cast("int")})
-    return src.join(px, ["img", "x", "y"]).select("img", F.col("tx").alias("x"), F.col("ty").alias("y"), "conf")
+    rows = R.frames(px).select("img", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("ty"), (F.col("right") + 1).alias("w"), (F.col("bottom") + 1).alias("h"))
+    target = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("tx"))
+    at = lambda t, n, size: F.least(F.col(size) - 1, F.floor(F.col(t) / F.lit(float(n)) * F.col(size))).cast("int")
+    src = target.withColumns({"x": at("tx", 200, "w"), "y": at("ty", 64, "h")})
+    return src.join(px, ["img", "x", "y"], "left").select("img", F.col("tx").alias("x"), F.col("ty").alias("y"), F.coalesce("conf", F.lit(0)).alias("conf"))
 
 
 @query("j12_final_labels", f"with {PART_SQL} select img, i, idx // 2 root from prt")

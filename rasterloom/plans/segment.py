@@ -16,7 +16,7 @@ from ..operators import edges
 from ..operators.contour import silhouette
 from ..operators.grid import components, dense_rank, mode_filter, shifted, smooth
 from ..operators.merge import RegionGraph, merge_regions
-from ..operators.palette import assign_grid, kmeans
+from ..operators.palette_grid import assign_grid, kmeans
 from ..shipping import ship
 
 

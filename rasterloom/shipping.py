@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,10 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one of our own if none is named, as in tests."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is named, as in tests, a temporary one of our own, but only if
+    driver and executors are one process: on a cluster others could not see it."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rasterloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="rasterloom-"))
     return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
 
 
@@ -37,3 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """``df`` written to the shared folder and read again. Unlike a checkpoint this also forgets what the optimizer knew of the columns, which in loops over conditional
+    columns grows from round to round."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

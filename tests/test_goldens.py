@@ -9,7 +9,7 @@ from rasterloom.functions import color, text
 from rasterloom.operators import contour, edges, grid
 from rasterloom.operators import regions as R
 from rasterloom.operators.merge import RegionGraph
-from rasterloom.operators.palette import Random32, kmeans
+from rasterloom.operators.palette_grid import Random32, kmeans
 from rasterloom.plans import segment
 from rasterloom.sources import rasters
 
