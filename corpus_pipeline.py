@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import toxicity
 from rasterloom.llm.bpe import encode
-from rasterloom.llm.common import fresh, materialise, small, table
+from rasterloom.llm.common import columns, fresh, materialise, small, table
 from rasterloom.llm.decontaminate import decontaminate
 from rasterloom.llm.jaccard import link_components
 from rasterloom.llm.linedup import dedupe_lines
@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored whole. An empty table gives no rows. All columns are kept, whatever their names."""
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     name = fresh("score", docs.columns)
-    return toxicity.score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) < 0.5).select(*columns(docs.columns))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,19 +35,25 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = out.where((removed == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(removed > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    return left.select(*columns(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: that with the smallest id. Rows with a null id are kept; of rows that
-    repeat an id, one stays (an arbitrary one, if they differ). Null and empty texts are like nothing, so they stay. An empty table gives no rows."""
+    repeat an id, one stays: that with the least hash of its text, then the shorter text, then the smaller row, written out as JSON. Null and empty texts are like nothing, so they stay. An empty table gives no rows."""
     groups = materialise(link_components(docs).groupBy("id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n")), "components")
     gone = groups.where("c <> id").select(F.col("id").alias("doc_id"))
     left = docs.join(small(gone), "doc_id", "left_anti")
     again = groups.where("c = id and n > 1").select(F.col("id").alias("doc_id"))
     if again.limit(1).count():
-        left = left.join(small(again), "doc_id", "left_anti").union(left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*docs.columns)
+        left = left.join(small(again), "doc_id", "left_anti").union(_one_a_doc(left.join(small(again), "doc_id", "left_semi")))
+    return left.select(*columns(docs.columns))
+
+
+def _one_a_doc(docs: DataFrame) -> DataFrame:
+    row = F.struct(*columns(docs.columns))
+    least = F.min_by(row, F.struct(F.xxhash64("text"), F.length("text"), F.col("text"), F.to_json(row)))
+    return docs.groupBy("doc_id").agg(least.alias("_row")).select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +66,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if nulls:  # rows without an id can't be named: they are looked at by text
         some = docs.where("doc_id is null").withColumn("doc_id", F.xxhash64("text"))
         bad = decontaminate(some, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id").distinct()
-        left = left.where("doc_id is not null").union(some.join(small(bad), "doc_id", "left_anti").select(*docs.columns).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
-    return left.select(*docs.columns)
+        left = left.where("doc_id is not null").union(some.join(small(bad), "doc_id", "left_anti").select(*columns(docs.columns)).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    return left.select(*columns(docs.columns))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import ship, slices
+from .common import columns, fresh, ship, slices
 
 VOCAB_BOUND = 1_000_000
 CACHE_WORDS, CACHE_PAIRS = 150_000, 300_000
@@ -59,11 +60,16 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.longest = max(map(len, self.ids))
+        if max(self.ids.values()) >= 1 << 20:
+            raise ValueError("pairs of ids are packed by 20 bits")
 
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:
-        with open(path, encoding="utf-8") as f:
-            return cls(json.load(f))
+        with open(path, "rb") as f:
+            raw = f.read()
+        out = cls(json.loads(raw))
+        out.digest = hashlib.sha256(raw).hexdigest()
+        return out
 
 
 class TrieEncoder:
@@ -170,7 +176,7 @@ _encoders: dict[str, TrieEncoder] = {}
 
 
 def encoder(key: str, vocab: Vocabulary) -> TrieEncoder:
-    """One encoder for each worker and vocabulary, kept between tasks."""
+    """One encoder for each worker and content of a tokenizer file, kept between tasks."""
     if key not in _encoders:
         _encoders[key] = TrieEncoder(vocab)
     return _encoders[key]
@@ -186,19 +192,19 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
     spark = docs.sparkSession
     ship(spark)
     vocab = Vocabulary.from_file(tokenizer_path)
-    sent, name = spark.sparkContext.broadcast(vocab), tokenizer_path
+    sent, name, own = spark.sparkContext.broadcast(vocab), vocab.digest, fresh("__text", keep)
     kinds = {"ids": "binary", "n_tokens": "bigint", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     if set(keep) & set(outputs):
         raise ValueError("kept columns and outputs share a name")
-    src = docs.select(*(docs[c] for c in keep), docs[text_col].alias("__text"))
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} {kinds[c]}" for c in outputs)])
+    src = docs.select(*columns(keep), *columns([text_col])).toDF(*keep, own)
+    schema = T.StructType([*(src.schema[c] for c in keep), *T.StructType.fromDDL(", ".join(f"{c} {kinds[c]}" for c in outputs)).fields])
     arrow = {"ids": pa.binary(), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, sent.value)
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                texts = [t or "" for t in batch.column("__text").to_pylist()]
+            for batch in slices(whole, own):
+                texts = [t or "" for t in batch.column(own).to_pylist()]
                 got: dict[str, list] = {c: [] for c in outputs}
                 for ids in enc.encode_batch(texts):
                     text = enc.decode(ids) if "decoded" in got or "decoded_sha256" in got else ""

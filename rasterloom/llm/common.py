@@ -6,8 +6,6 @@ never takes the only copy of an intermediate result with it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,28 +14,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import shared_folder as scratch_dir
 from ..shipping import ship
+from ..shipping import stored as materialise
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "fresh", "materialise", "row_key", "scratch_dir", "ship", "slices", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "columns", "fresh", "materialise", "row_key", "scratch_dir", "ship", "slices", "small", "table"]
 
 #: A side is broadcast only if its counted rows stay at or below this many (rows of a few dozen bytes: tens of MB).
 BROADCAST_ROWS = 400_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; a temporary one of our own if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def columns(names: Iterable[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -67,5 +67,5 @@ def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     both = d.join(p, F.col(f"d.{k}.id").eqNullSafe(F.col("p.p_id")) & (F.col(f"d.{k}.h") == F.col("p.p_h")) & F.col(f"d.{k}.n").eqNullSafe(F.col("p.p_n")), "left")
     lines = F.split(F.col(f"d.{text_col}"), "\n")
     text = F.when(F.col("p.places").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(without(lines, F.col("p.places")), "\n"))
-    cols = [text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
+    cols = [text.alias(c) if c == text_col else F.col(f"d.`{c.replace('`', '``')}`") for c in docs.columns]
     return both.select(*cols, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(fresh("_n_lines", docs.columns)), F.coalesce(F.size("p.places"), F.lit(0)).cast("long").alias(fresh("_n_removed", docs.columns)))

@@ -9,9 +9,12 @@ random keys and no global shuffle file, and each slot can be computed alone.
 Slots are dealt out by range: a task writes whole shards of ``per_shard`` sequences, each of ``length * width`` bytes, so
 sequence s of a shard starts at byte s * length * width and a reader can resume at any slot. A shard is written under a
 temporary name and moved into place; a task that runs again, after a lost executor say, writes the same bytes. Shards carry in their name
-a digest of all that their bytes depend on (rows and their numbers, encoder, key, lengths); the file ``CURRENT`` names that of the last
-run. Shards of the same digest that are already there are kept, so a broken job can be taken up again in the same folder, and shards of other data
-are never taken for this run's.
+a digest of all that their bytes depend on (rows and their numbers, encoder, key, lengths). Shards of the same digest that are already there are kept, so a
+broken job can be taken up again in the same folder, and shards of other data are never taken for this run's.
+
+Each run leaves a note of its digest and sizes, ``RUN-<time>-<digest>``, before it writes. ``publish`` looks for the newest run of which all shards are there with their
+right sizes and names it in the file ``CURRENT``, by a rename; readers do so too if a newer run has left a note. So a run that was never evaluated, or
+that died midway, changes nothing for readers.
 
 Texts are encoded twice, first to count sequences and then to cut them: to keep the tokens between the two would be another table of
 about 0.8 times the texts, beside the shuffle and the shards.
@@ -21,7 +24,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -166,8 +171,7 @@ def write_shards(docs: DataFrame, encoder: RankEncoder, folder: str | None = Non
         return _named(spark.createDataFrame([], schema), folder)
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    with fs.open_output_stream(f"{base}/CURRENT") as f:
-        f.write(digest.encode())
+    _put(fs, base, f"RUN-{time.time_ns():020d}-{digest}", json.dumps({"digest": digest, "total": total, "per_shard": per_shard, "bytes": length * encoder.width}))
     sent, width = spark.sparkContext.broadcast(encoder), encoder.width
     src, order = _source(docs, id_col, text_col), materialise(order, "order")
     unclear = None if strict else materialise(_unclear(order), "unclear-ids")
@@ -240,12 +244,50 @@ def _named(df: DataFrame, folder: str) -> DataFrame:
     return df
 
 
+def _put(fs: pafs.FileSystem, base: str, name: str, text: str) -> None:
+    own = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(text.encode())
+    fs.move(own, f"{base}/{name}")
+
+
+def _get(fs: pafs.FileSystem, path: str) -> str:
+    with fs.open_input_file(path) as f:
+        return f.read().decode()
+
+
+def publish(folder: str, sweep: bool = False) -> str:
+    """Names the newest whole run of a folder in ``CURRENT`` and returns its digest; FileNotFoundError if there is none. ``sweep`` also removes the unfinished files of
+    failed tasks, which no job may still be writing."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    there = {f.base_name: f.size for f in fs.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.File}
+    if sweep:
+        for name in [n for n in there if n.startswith(".shard-")]:
+            fs.delete_file(f"{base}/{name}")
+    for note in sorted((n for n in there if n.startswith("RUN-")), reverse=True):
+        run = json.loads(_get(fs, f"{base}/{note}"))
+        sizes = ((s, min(run["per_shard"], run["total"] - s * run["per_shard"]) * run["bytes"]) for s in range(-(-run["total"] // run["per_shard"])))
+        if all(there.get(f"shard-{s:08d}-{run['digest']}.bin") == size for s, size in sizes):
+            _put(fs, base, "CURRENT", json.dumps({"digest": run["digest"], "note": note}))
+            return run["digest"]
+    raise FileNotFoundError(f"no whole run in {folder}")
+
+
+def current(folder: str) -> str:
+    """The digest that ``CURRENT`` names, if no newer run has left a note; else ``publish``."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    notes = [f.base_name for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.startswith("RUN-")]
+    if fs.get_file_info(f"{base}/CURRENT").type == pafs.FileType.File:
+        named = json.loads(_get(fs, f"{base}/CURRENT"))
+        if named["note"] >= max(notes, default=""):
+            return named["digest"]
+    return publish(folder)
+
+
 def read_slots(folder: str, first: int, count: int, length: int = 256, per_shard: int = 8192, width: int = 2) -> Iterator[np.ndarray]:
-    """Sequences of the slots first, first + 1, ... in order, read one after the other from the shards of the folder's last run."""
+    """Sequences of the slots first, first + 1, ... in order, read one after the other from the shards of the folder's last whole run."""
     fs, base = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_file(f"{base}/CURRENT") as f:
-        digest = f.read().decode()
-    at = first
+    digest, at = current(folder), first
     while at < first + count:
         shard, place = divmod(at, per_shard)
         take = min(per_shard - place, first + count - at)

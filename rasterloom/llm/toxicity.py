@@ -23,8 +23,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, materialise, ship, slices
+from .common import columns, fresh, materialise, ship, slices
 
 # Seed words of the grammar.
 INSULTS = "idiot moron stupid pathetic worthless scum loser disgusting imbecile dumbass retard bastard imbécile crétin connard salaud dummkopf arschloch vollidiot estúpido idiota imbécil cabrón".split()
@@ -218,8 +219,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     if name in keep:
         raise ValueError(f"a column {name} is kept already")
     text = text_col if text_col in keep else fresh("text", keep)
-    src = docs.select(*(docs[c] for c in keep), *([] if text_col in keep else [docs[text_col].alias(text)]))
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
+    src = docs.select(*columns(keep), *([] if text_col in keep else [docs[text_col].alias(text)]))
+    schema = T.StructType([*(src.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.raw if raw else sent.value.score

@@ -244,10 +244,21 @@ def o3(s, d):
     return S.global_rank(c.select("ord", "id"), ["id", "ord"], "place").select("ord", "place")
 
 
-@query("o4_groups_by_name", f"with {CAT_SQL}, g as (select distinct name from cat) select name, row_number() over (order by lower(name), name) as place from g")
+def in_locale_order(names, col: str):
+    """Adds place: distinct names in the order of the root locale, by a collated column dealt out by range; names that the collation holds for equal go by code point."""
+    return S.global_rank(names.withColumn("_c", F.collate(F.col(col), "UNICODE")), ["_c", col], "place").drop("_c")
+
+
+@query("o4_groups_by_name", f"with {CAT_SQL}, g as (select distinct name from cat) select name, row_number() over (order by icu_sort_key(name, 'en'), name) as place from g")
 def o4(s, d):
-    g = catalog(s, d).select("name", F.lower("name").alias("low")).distinct()
-    return S.global_rank(g, ["low", "name"], "place").select("name", "place")
+    return in_locale_order(catalog(s, d).select("name").distinct(), "name").select("name", "place")
+
+
+@query("o3_o4_locale_order", r"with t as (select distinct regexp_extract(text, '^\S+ \S+') title from documents where text is not null) select title, row_number() over (order by icu_sort_key(title, 'en'), title) as place from t where title <> ''")
+def o3_4(s, d):
+    """Titles with accents and mixed case: the first two words of every text."""
+    titles = load(s, d, "documents").where("text is not null").select(F.regexp_extract("text", r"^\S+ \S+", 0).alias("title")).where("title <> ''").distinct()
+    return in_locale_order(titles, "title")
 
 
 @query("o5_newest_first", "select event_id, row_number() over (partition by user_id order by ts desc, event_id) as place from events where event_type = 'purchase'")
