@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, fresh, materialise, ship, slices
+from .common import columns, materialise, ship, slices
 
 # Seed words of the grammar.
 INSULTS = "idiot moron stupid pathetic worthless scum loser disgusting imbecile dumbass retard bastard imbécile crétin connard salaud dummkopf arschloch vollidiot estúpido idiota imbécil cabrón".split()
@@ -218,18 +218,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     name = name or ("raw" if raw else "score")
     if name in keep:
         raise ValueError(f"a column {name} is kept already")
-    text = text_col if text_col in keep else fresh("text", keep)
-    src = docs.select(*columns(keep), *([] if text_col in keep else [docs[text_col].alias(text)]))
-    schema = T.StructType([*(src.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    src = docs.select(F.struct(*columns(keep)).alias("kept"), *(c.alias("text") for c in columns([text_col])))  # a struct: names may hold dots
+    schema = T.StructType([src.schema["kept"], T.StructField("value", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.raw if raw else sent.value.score
         for whole in batches:
-            for b in slices(whole, text):
-                values = [f(t or "") for t in b.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(values, pa.float64())], [*keep, name])
+            for b in slices(whole, "text"):
+                values = [f(t or "") for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(values, pa.float64())], ["kept", "value"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).select("kept.*", F.col("value").alias(name))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:

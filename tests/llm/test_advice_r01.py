@@ -57,3 +57,23 @@ def test_long_lines_of_two_sites(spark, data):
     want = {i: f"x{i}" if 0 < i < 8 else t for i, t, *_ in rows}  # one site only: stays
     assert {r.doc_id: r.text for r in linedup.dedupe_lines(docs).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, data).collect()} == want
+
+
+def test_readers_keep_to_the_last_whole_run(spark, tmp_path):
+    folder, enc = f"file://{tmp_path}/out", shards.RankEncoder(Q.RANK_FILE, bpe.SPLIT, end=50256)
+    docs = spark.createDataFrame([(i, "text " * i) for i in range(20)], "doc_id long, text string")
+    sizes = {"length": 8, "per_shard": 4}
+    n = shards.write_shards(docs, enc, folder, **sizes).count()
+    first, digest = np.stack(list(shards.read_slots(folder, 0, n, **sizes))), shards.current(folder)
+    shards.write_shards(docs.where("doc_id < 9"), enc, folder, **sizes)  # never evaluated
+    assert (np.stack(list(shards.read_slots(folder, 0, n, **sizes))) == first).all()
+    out = shards.write_shards(docs.where("doc_id < 15"), enc, folder, **sizes)
+    done = out.count()
+    name = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("shard-00000001-") and digest not in p.name)
+    held = name.read_bytes()
+    name.write_bytes(held[:-1])  # as if the job had died midway
+    (tmp_path / "out" / ".shard-00000001-x").write_bytes(b"")
+    assert shards.publish(folder) == digest and (np.stack(list(shards.read_slots(folder, 0, n, **sizes))) == first).all()
+    name.write_bytes(held)
+    assert shards.publish(folder, sweep=True) != digest and len(list(shards.read_slots(folder, 0, done, **sizes))) == done
+    assert not list((tmp_path / "out").glob(".shard-*"))

@@ -235,7 +235,7 @@ def test_shards_of_other_data_are_not_taken_up(spark, tmp_path):
 
 
 LONG = "word " * 30_000 + "tail " + "x" * 300_000 + " you idiot " + "line\n" * 20_000 + "a@b.example.com token=abcdef123456 " + "y z " * 200_000
-CLASHES = "key id score n tokens w pos raw t _k _n_lines _n_removed text_ h c cls place value token kind row d p".split()
+CLASHES = "key id score n tokens w pos raw t _k _n_lines _n_removed text_ h c cls place value token kind row d p __text a.b _row".split()
 
 
 @pytest.fixture(scope="module")
@@ -243,7 +243,7 @@ def strange(spark):
     texts = [None, "", " \n ", "one", "a b c d e f", "a b c d e f", LONG, "a b c d e f g\nshared line of some words"]
     rows = [(i if i != 5 else None, t, None if i == 3 else "en", None if i == 4 else f"s{i}", None if i == 2 else len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[4], rows[6], (None, None, None, None, None), (None, "", None, None, None), rows[5]]
-    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in CLASHES})
+    df = spark.createDataFrame(rows, DOCS).select("*", *(F.lit("x").alias(c) for c in CLASHES))
     return df.checkpoint()
 
 

@@ -109,7 +109,7 @@ def test_decontamination_both_ways(spark, odd, empty, data):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     df = Q.queries()[name](spark, data)
     want = con.sql(Q.oracle_sql()[name])
