@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import cut, stored
+from ..shipping import cut_plain as cut
 from . import regions as R
 
 # The eight neighbours, clockwise from the west.
@@ -113,7 +113,7 @@ def simplified(points: DataFrame, epsilon: float) -> DataFrame:
     split = far.where("n > 4 and f > 0")
     kept = [whole.join(far.where("n <= 4 or f = 0").select(*keys), keys, "left_semi"), split.select(*keys, F.lit(0).alias("k"), F.col("ax").alias("x"), F.col("ay").alias("y")), split.select(*keys, F.col("f").alias("k"), F.col("fx").alias("x"), F.col("fy").alias("y"))]
     out = F.col("k") < F.col("f")
-    work = stored(
+    work = cut(
         whole.join(split, keys).where("k <> 0 and k <> f").select(
             *keys, "k", "x", "y", F.when(out, 0).otherwise(F.col("f")).alias("a"),
             *(F.when(out, F.col(f"a{c}")).otherwise(F.col(f"f{c}")).alias(f"a{c}") for c in "xy"), *(F.when(out, F.col(f"f{c}")).otherwise(F.col(f"a{c}")).alias(f"b{c}") for c in "xy"),
@@ -125,7 +125,7 @@ def simplified(points: DataFrame, epsilon: float) -> DataFrame:
         best = cut(best.select(*keys, "a", (-F.col("m.k")).alias("f"), F.col("m.x").alias("fx"), F.col("m.y").alias("fy")))
         kept.append(best.select(*keys, F.col("f").alias("k"), F.col("fx").alias("x"), F.col("fy").alias("y")))
         before = F.col("k") < F.col("f")
-        work = stored(
+        work = cut(
             work.join(best, [*keys, "a"]).where("k <> f").select(
                 *keys, "k", "x", "y", F.when(before, F.col("a")).otherwise(F.col("f")).alias("a"),
                 *(F.when(before, F.col(f"a{c}")).otherwise(F.col(f"f{c}")).alias(f"a{c}") for c in "xy"), *(F.when(before, F.col(f"f{c}")).otherwise(F.col(f"b{c}")).alias(f"b{c}") for c in "xy"),

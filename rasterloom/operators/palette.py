@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import random32
-from ..shipping import cut
+from ..shipping import cut_plain as cut
 
 MAX_SAMPLES, MAX_ITERATIONS, CONVERGED_SQ, DUPLICATE, SEED = 80_000, 20, 0.0025, 2.0, 0x9E3779B9
 BLOCK = 512

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from ..fixtures import ORD, ORD_SQL, PART, PART_SQL, r_ord, r_part
 from ..functions import color as C
 from ..functions import random
-from ..operators import borders, grid, marks, smoothing
+from ..operators import borders, contraction, grid, marks, smoothing, turning
 from ..operators import palette as P
 from ..operators import regions as R
-from ..operators.merge import RegionGraph, merge_regions
 from ..operators.state import build_plan
 from ..shipping import cut, shared_folder
-from ..sources import rasters
+from ..sources import raster_source, rasters
 from ..streaming.progress import stream_fills
 from . import segment
 from .catalog_queries import TAP_SQL
@@ -240,17 +239,20 @@ def g12(s, d):
     return colors_of(P.kmeans(lab_rows(s, d), 8))
 
 
-@query("g5_g6_g7_g8_g9_merge_regions")
-def g9(s, d):
-    palette = np.array([[20, 0, 0], [40, 10, 0], [60, 0, 10], [80, 5, 5]], np.float32)
+MERGE_PALETTE = [[20, 0, 0], [40, 10, 0], [60, 0, 10], [80, 5, 5]]
 
-    def f(g):
-        label = grid.dense_rank(grid.components(g["idx"], np.ones(g["idx"].shape, bool)))
-        conf = np.full(label.max() + 1, 0.2)
-        roots = merge_regions(RegionGraph.of(label, g["idx"]), 12, 30, conf, palette, 15)
-        return {k: v for k, v in grid.rows_of({"root": roots[label]}, g["valid"]).items() if k not in "xy"}
 
-    return grid.per_image(r_part(s, d), PART, ["idx"], f, "img bigint, i bigint, root bigint")
+@query("g5_g6_g7_g8_g9_merge_regions")
+def g9(s, d):
+    """Region of each pixel after merging; colours are those of the index map, all of it is background. Held against the rule in order by tests."""
+    px = borders.components(borders.full_frame(r_part(s, d), "idx", PART[0]), "idx")
+    number = px.where("i = root").select("img", "root", (F.row_number().over(Window.partitionBy("img").orderBy("root")) - 1).cast("bigint").alias("label"))
+    labelled = cut(px.join(number, ["img", "root"]).drop("root"))
+    regions, links = contraction.region_graph(labelled, "label", "idx")
+    least, back = 12 + (1 - 0.2) * (30 - 12), True
+    root = contraction.merged(regions.withColumns({"least": F.lit(least), "back": F.lit(back)}), links, MERGE_PALETTE, 15)
+    out = labelled.join(root.withColumnRenamed("id", "label"), ["img", "label"])
+    return r_part(s, d).select("img", "i").join(out.select("img", "i", "root"), ["img", "i"])
 
 
 def loops_sql(raster: str, set_if: str, width: int, least: int) -> str:
@@ -431,10 +433,36 @@ def c7(s, d):
 
 @query("s2_s11_raster_files", f"with {ORD_SQL} select img, i, x, y, r, g, b from ord")
 def s11(s, d):
-    """Every image encoded, written, and decoded again."""
+    """Every image written as a file to the shared folder, and read again."""
+    raster_source.register(s)
     path = f"{shared_folder(s)}/rasters-{uuid.uuid4().hex}"
-    rasters.encode(r_ord(s, d).withColumn("slug", F.col("img").cast("string"))).write.parquet(path)
-    return rasters.decode(s.read.parquet(path)).select(F.col("slug").cast("bigint").alias("img"), "i", "x", "y", "r", "g", "b")
+    pixels = r_ord(s, d)
+    raster_source.in_file_order(pixels.withColumn("slug", F.col("img").cast("string"))).write.format("raster").mode("append").save(path)
+    back = s.read.format("raster").load(path).select(F.col("slug").cast("bigint").alias("img"), "i", "x", "y", "r", "g", "b")
+    return back.join(pixels.select("img", "i"), ["img", "i"], "left_semi")  # a file also holds what is missing of its frame
+
+
+TURN_SQL = f"""with {ORD_SQL}, f as (select img, max(x) mx, max(y) my from ord group by img),
+t as (select img, k, r, g, b, case k when 2 then mx - x when 3 then mx - x when 5 then y when 6 then my - y when 7 then my - y when 8 then y else x end x,
+ case k when 3 then my - y when 4 then my - y when 5 then x when 6 then x when 7 then mx - x when 8 then mx - x else y end y from ord join f using (img), range(1, 9) o(k))"""
+
+
+@query("s2_turned_rasters", f"{TURN_SQL} select img, k orientation, x, y, r, g, b from t")
+def s2_turned(s, d):
+    """Every image turned upright from each of the eight orientations."""
+    each = r_ord(s, d).select("img", "x", "y", "r", "g", "b", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(8).cast("bigint"))).alias("orientation"))
+    return turning.turned(each, F.col("orientation"))[["img", "orientation", "x", "y", "r", "g", "b"]]
+
+
+@query("s2_fit_inside", f"""{TURN_SQL}, z as (select img, k, max(x) + 1 w, max(y) + 1 h from t group by all),
+s as (select *, greatest(1, cast(floor(w * least(1.0::double, 40.0::double / greatest(w, h)) + 0.5) as int)) tw, greatest(1, cast(floor(h * least(1.0::double, 40.0::double / greatest(w, h)) + 0.5) as int)) th from z),
+bx as (select img, k, w, h, tw, th, ox, unnest(range(th)) oy from (select *, unnest(range(tw)) ox from s))
+select bx.img, bx.k orientation, cast(ox as int) x, cast(oy as int) y, round(avg(r::double), 3) r, round(avg(g::double), 3) g, round(avg(b::double), 3) b from bx join t on t.img = bx.img and t.k = bx.k
+ and t.x >= floor(ox * w / tw::double) and t.x < ceil((ox + 1) * w / tw::double) and t.y >= floor(oy * h / th::double) and t.y < ceil((oy + 1) * h / th::double) group by bx.img, bx.k, ox, oy""")
+def s2_fit(s, d):
+    """The turned images shrunk to at most 40 pixels a side."""
+    small = turning.fit_inside(s2_turned(s, d), 40, list("rgb"), ("img", "orientation"))
+    return small.select("img", "orientation", "x", "y", *(F.round(c, 3).alias(c) for c in "rgb"))
 
 
 @query("c5_c6_c8_incremental_build")
