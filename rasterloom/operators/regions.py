@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import cut
+from .stencil import around
 
 
 def row_window():
@@ -113,9 +114,13 @@ def with_local_mean(df: DataFrame, col: str, radius: int) -> DataFrame:
 
 def vote(df: DataFrame, col: str, radius: int) -> DataFrame:
     """(img, x, y, value): one majority pass; ties go to the present value, then the lowest."""
-    offsets = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
-    cast = at_offsets(df, offsets, frames(df), [col]).groupBy("img", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max(((F.col("dx") == 0) & (F.col("dy") == 0)).cast("int")).alias("own"))
-    return cast.groupBy("img", "x", "y").agg(F.max_by("v", F.struct("c", "own", -F.col("v"))).alias("value"))
+
+    def most(p: Column, taps: Column) -> Column:
+        seen = F.transform(taps, lambda t: t["q"][col])
+        count = lambda v: F.size(F.filter(seen, lambda s: s == v))
+        return F.array_max(F.transform(F.array_distinct(seen), lambda v: F.struct(count(v).alias("c"), (v == p[col]).alias("own"), (-v).alias("low"), v.alias("v"))))["v"]
+
+    return around(df, [col], radius, most).select("img", "x", "y", F.col("v").alias("value"))
 
 
 def grow(df: DataFrame, col: str, eight: bool = False) -> DataFrame:

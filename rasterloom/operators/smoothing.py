@@ -1,4 +1,4 @@
-"""Edge-preserving smoothing of float images as relations: every pixel meets the values around it in a join keyed by image and place."""
+"""Edge-preserving smoothing of float images as relations."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import regions as R
+from .stencil import around
 
 
 def _square(radius: int) -> list[tuple[int, int]]:
@@ -20,12 +21,20 @@ def bilateral(px: DataFrame, columns: list[str], range_sigma: float, radius: int
     """(img, i, x, y, columns as floats) after one pass: the mean of the (2 radius + 1) squared window around each pixel, weighted by
     closeness in place (sigma radius / 1.5, stored as a float) and in value. Windows are cut off at the borders."""
     px = px.select("img", "i", "x", "y", *(F.col(c).cast("double").alias(c) for c in columns))
-    near = R.at_offsets(px, _square(radius), R.frames(px), columns).select("img", F.col("nx").alias("x"), F.col("ny").alias("y"), "dx", "dy", *(F.col(c).alias(f"n_{c}") for c in columns))
-    sigma = radius / 1.5
-    place = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2 * sigma * sigma)).cast("float").cast("double")
-    value = F.exp(-_apart([F.col(f"n_{c}") for c in columns], [F.col(c) for c in columns]) / (2 * range_sigma**2))
-    met = px.join(near, ["img", "x", "y"]).withColumn("w", place * value)
-    return met.groupBy("img", "i", "x", "y").agg(*((F.sum(F.col("w") * F.col(f"n_{c}")) / F.sum("w")).cast("float").alias(c) for c in columns))
+    sigma, side = radius / 1.5, 2 * radius + 1
+    place = F.array(*(F.exp(F.lit(-(dx * dx + dy * dy) / (2 * sigma * sigma))).cast("float").cast("double") for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)))
+
+    def mean(p: Column, taps: Column) -> Column:
+        def weighed(t: Column) -> Column:
+            q = t["q"]
+            near = F.element_at(F.col("_place"), (t["dy"] + radius) * side + q["x"] - p["x"] + radius + 1)
+            return F.struct((near * F.exp(-_apart([q[c] for c in columns], [p[c] for c in columns]) / (2 * range_sigma**2))).alias("w"), *(q[c].alias(c) for c in columns))
+
+        none = F.struct(F.lit(0.0).alias("w"), *(F.lit(0.0).alias(c) for c in columns))
+        add = lambda a, t: F.struct((a["w"] + t["w"]).alias("w"), *((a[c] + t["w"] * t[c]).alias(c) for c in columns))
+        return F.aggregate(F.transform(taps, weighed), none, add, lambda a: F.struct(*((a[c] / a["w"]).cast("float").alias(c) for c in columns)))
+
+    return around(px, columns, radius, mean, {"_place": place}).select("img", "i", "x", "y", *(F.col(f"v.{c}").alias(c) for c in columns))
 
 
 def guided_upsample(low: DataFrame, px: DataFrame, columns: list[str], size: tuple[int, int], small: tuple[int, int], range_sigma: float, window: int = 2) -> DataFrame:

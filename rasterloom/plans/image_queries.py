@@ -17,6 +17,7 @@ from ..operators import regions as R
 from ..operators.state import build_plan
 from ..shipping import cut, shared_folder
 from ..sources import raster_source, rasters
+from ..streaming import gestures
 from ..streaming.progress import stream_fills
 from . import segment
 from .catalog_queries import TAP_SQL
@@ -480,3 +481,45 @@ def c8(s, d):
 @query("t4_stream_fills", f"with {TAP_SQL} select puzzle, region, arg_max(fill, struct_pack(ts := ts, e := event_id)) fill from ok group by all")
 def t4_stream(s, d):
     return stream_fills(s, d).select("puzzle", "region", "fill")
+
+
+IDLE_MS, FAR_TAP, LONG_TAP_MS = 4 * 86_400_000, 60.0, 86_400_000
+
+
+def _gestures_sql() -> str:
+    """One session's events gone through in order by recursion, with the machine's state in columns."""
+    kinds = " ".join(f"when '{t}' then '{k}'" for t, k in gestures.KINDS.items())
+    fresh = lambda c, v: f"case when idle then {v} else {c} end {c}"
+    return f"""with recursive e as materialized (select user_id session, row_number() over (partition by user_id order by epoch_ms(ts), event_id) n, event_id ev, epoch_ms(ts) ms, case event_type {kinds} end kind, event_id % 3 id,
+ cast(json_extract_string(props, '$.k') as double) x, value y from events where user_id is not null and event_id is not null and ts is not null and event_type in ({", ".join(repr(t) for t in gestures.KINDS)}) and json_extract_string(props, '$.k') is not null and value is not null),
+g as (select session, 0::bigint n, 0::bigint ev, null::bigint ms, cast([] as struct(id bigint, x double, y double)[]) p, null::struct(x double, y double, t bigint, ev bigint) tap, null::struct(x double, y double) pan, null::struct(d double, mx double, my double) pin,
+ 1::double s, 0::double tx, 0::double ty, null::bigint dp, null::bigint sev, false pinching, cast([] as struct(what varchar, began bigint)[]) told from (select distinct session from e)
+ union all
+ select session, n, ev, ms, p, tap1, pan1, pin1, s1, tx1, ty1, dp1, sev1, pinching1, told1 from (
+  select *, case when kind = 'down' then case when m = 1 then {{'x': x, 'y': y, 't': ms, 'ev': ev}} end when kind = 'move' then tap when m = 1 then tap end tap1,
+   case when kind = 'down' then case when m = 1 then {{'x': x, 'y': y}} end when kind = 'move' then case when pans then {{'x': x, 'y': y}} else pan end when m = 1 then {{'x': p[1].x, 'y': p[1].y}} end pan1,
+   case when kind = 'down' then case when m = 1 then pin when m = 2 then now end when kind = 'move' then case when pinches then now else pin end end pin1,
+   case when moves then z else s end s1,
+   case when moves then now.mx - (now.mx - tx) * (z / s) + (now.mx - pin.mx) when pans then tx + x - pan.x else tx end tx1,
+   case when moves then now.my - (now.my - ty) * (z / s) + (now.my - pin.my) when pans then ty + y - pan.y else ty end ty1,
+   case when kind = 'down' then case when starts then id when m = 2 then null else dp end when ends then null else dp end dp1,
+   case when kind = 'down' then case when starts then ev when m = 2 then null else sev end when ends then null else sev end sev1,
+   case when kind = 'down' then pinching or (m = 2 and not starts) when kind = 'move' then pinching when ends then pinching else pinching and m >= 2 end pinching1,
+   list_filter([case when kind = 'up' and m <> 1 and tap is not null and sqrt((x - tap.x) ** 2 + (y - tap.y) ** 2) <= {FAR_TAP} and ms - tap.t <= {LONG_TAP_MS} then {{'what': 'tap', 'began': tap.ev}} end,
+    case when (kind = 'down' and m = 2 and sev is not null) or ends then {{'what': 'stroke', 'began': sev}} end, case when moves then {{'what': 'pinch', 'began': null}} end, case when pans then {{'what': 'pan', 'began': null}} end], lambda o: o is not null) told1
+  from (select *, kind = 'down' and dp is null and not pinching and m = 1 starts, kind in ('up', 'cancel') and dp is not null and dp = id ends,
+    pinches and pin.d > 0 and now.d > 0 moves, case when pinches and pin.d > 0 and now.d > 0 then least(8.0::double, greatest(1.0::double, s * (now.d / pin.d))) end z, kind = 'move' and known and m = 1 and s > 1 and pan is not null pans
+   from (select *, kind = 'move' and known and m = 2 and pin is not null pinches from (
+    select *, len(p) m, case when len(p) = 2 then {{'d': sqrt((p[1].x - p[2].x) ** 2 + (p[1].y - p[2].y) ** 2), 'mx': (p[1].x + p[2].x) / 2, 'my': (p[1].y + p[2].y) / 2}} end now from (
+     select * replace (case when kind in ('up', 'cancel') then list_filter(p, lambda q: q.id <> r_id) when known then list_transform(p, lambda q: case when q.id = r_id then {{'id': r_id, 'x': r_x, 'y': r_y}} else q end) when kind = 'down' then list_append(p, {{'id': r_id, 'x': r_x, 'y': r_y}}) else p end as p) from (
+      select *, len(list_filter(p, lambda q: q.id = r_id)) > 0 known from (
+       select session, n, ev, ms, kind, id, x, y, id r_id, x r_x, y r_y, {fresh("p", "[]")}, {fresh("tap", "null")}, {fresh("pan", "null")}, {fresh("pin", "null")}, {fresh("s", "1")}, {fresh("tx", "0")}, {fresh("ty", "0")}, {fresh("dp", "null")}, {fresh("sev", "null")}, {fresh("pinching", "false")} from (
+        select e.*, g.p, g.tap, g.pan, g.pin, g.s, g.tx, g.ty, g.dp, g.sev, g.pinching, coalesce(e.ms - g.ms > {IDLE_MS}, false) idle from g join e on e.session = g.session and e.n = g.n + 1)))))))))
+select session, ev event_id, t.what what, t.began began, round(s, 4) scale, round(tx, 4) tx, round(ty, 4) ty from (select session, ev, s, tx, ty, unnest(told) t from g where len(told) > 0)"""
+
+
+@query("t9_t11_t12_gestures", _gestures_sql())
+def t9(s, d):
+    """Taps, strokes, pinches and pans of every user's events, as a stream with keyed state. Events are minutes apart here, so a tap may last a day."""
+    told = gestures.stream_gestures(s, d, idle_ms=IDLE_MS, tap_pixels=FAR_TAP, tap_ms=LONG_TAP_MS)
+    return told.select("session", "event_id", "what", "began", *(F.round(c, 4).alias(c) for c in ("scale", "tx", "ty")))
