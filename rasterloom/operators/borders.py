@@ -2,7 +2,7 @@
 
 Neither an image nor a loop has to fit a task. A border is a list of steps in which every (pixel, direction of arrival) names the next one; the places
 along it come from joins of that table with itself, each of which doubles the length of the jumps. Simplification splits all open arcs of all loops in one
-aggregate a round. Rounds are checkpointed in the shared folder.
+aggregate a round. Rounds end in tables written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import cut_plain as cut
+from ..shipping import stored as cut
 from . import regions as R
 
 # The eight neighbours, clockwise from the west.

@@ -3,7 +3,7 @@
 The rules (see ``merge.py``, which holds them for one image in a task) depend on an order: small regions go one after the other. But a region's choice depends only on its neighbours and
 their areas, and a merge changes only what is next to it. So in a round all regions of all images' queues go that have no earlier one within two steps in
 the graph (three, where either side of a pair may go); they can't meet, and the outcome is that of the queue gone through in order. Regions and links are relations, a round is
-some joins and aggregates, cut off by checkpoints in the shared folder. Which region went into which is a forest that is resolved
+some joins and aggregates, cut off by tables written to the shared folder. Which region went into which is a forest that is resolved
 at the end by pointer doubling.
 """
 
@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import cut_plain as cut
 from ..shipping import light
+from ..shipping import stored as cut
 from . import regions as R
 from .merge import AREA, BORDER, CROSSING, NEAR_TIE
 

@@ -2,7 +2,7 @@
 
 Every image (or other group ``img``) runs its own k-means, all of them in the same rounds. No image's samples meet in one task: draws are made on running sums of
 blocks of samples, then within the one block that a draw falls into, and each Lloyd step is one aggregate by image and colour. Images whose colours have
-settled leave the loop. Rounds are cut off by checkpoints in the shared folder.
+settled leave the loop. Rounds are cut off by tables written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.random import random32
-from ..shipping import cut_plain as cut
+from ..shipping import stored as cut
 
 MAX_SAMPLES, MAX_ITERATIONS, CONVERGED_SQ, DUPLICATE, SEED = 80_000, 20, 0.0025, 2.0, 0x9E3779B9
 BLOCK = 512

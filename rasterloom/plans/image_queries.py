@@ -336,14 +336,6 @@ def k9(s, d):
     return as_loops(borders.corners_cut(borders.simplified(part_borders(s, d), 1.2), 2))
 
 
-def silhouette(px: DataFrame, width: int, least: int = 200, epsilon: float = 2.2, rounds: int = 2, radius: int = 3) -> DataFrame:
-    """(img, i, x, y): a drawn outline of the subject of a confidence mask (conf over 128)."""
-    mask = borders.full_frame(px.withColumn("_v", (F.col("conf") > 128).cast("int")), "_v", width)
-    line = borders.corners_cut(borders.simplified(borders.outlines(mask, "_v", least), epsilon), rounds)
-    ink = marks.strokes(line, radius, R.frames(px), ("img", "loop"), "k")
-    return px.select("img", "i", "x", "y").join(ink, ["img", "x", "y"], "left_semi").select("img", "i", "x", "y")
-
-
 @query("k10_k11_silhouette", f"""with recursive {ORD_SQL}, {loops_sql('ord', 'conf > 128', ORD[0], 20)}, {simplify_sql(2.2)}, {corners_sql(2)},
 e as (select img, x, y, coalesce(lead(x) over w, first_value(x) over w) - x dx, coalesce(lead(y) over w, first_value(y) over w) - y dy from c2 window w as (partition by img, loop order by k)),
 sn as (select *, greatest(1, cast(ceil(sqrt(dx * dx + dy * dy)) as int)) n from e),
@@ -352,7 +344,7 @@ sp as (select distinct img, cast(floor(x + dx * (k / n::double) + 0.5) as int) x
 br as (select distinct img, cast(sp.x + u.o - 3 as int) x, cast(sp.y + v.o - 3 as int) y from sp, range(7) u(o), range(7) v(o) where (u.o - 3) ** 2 + (v.o - 3) ** 2 <= 9)
 select ord.img, i, x, y from ord semi join br using (img, x, y)""")
 def k11(s, d):
-    return silhouette(r_ord(s, d), ORD[0], least=20)
+    return segment.silhouette(r_ord(s, d), ORD[0], least=20)
 
 
 @query("k13_paint_strokes", f"""with {ORD_SQL}, hs as (select img, max(y) bottom, max(x) "right" from ord group by img),

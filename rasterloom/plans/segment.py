@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.color import TO_RGB, TO_XYZ, WHITE
 from ..functions.color import lab as lab_expr
-from ..operators import edges
-from ..operators.contour import silhouette
+from ..operators import borders, edges, marks
+from ..operators import regions as R
 from ..operators.grid import components, dense_rank, mode_filter, shifted, smooth
 from ..operators.merge import RegionGraph, merge_regions
 from ..operators.palette_grid import assign_grid, kmeans
@@ -145,7 +145,7 @@ def outline_pixels(pixels: DataFrame, size: tuple[int, int], line_art: bool = Fa
     """Inked pixels (img, i, x, y, ink, alpha) of (img, i, x, y, r, g, b[, conf][, alpha]).
 
     With ``line_art``, the alpha column of an outside drawing is inked as it is and nothing else is computed. Otherwise the union of the
-    subject's silhouette, feature lines, lines between regions of clearly different colour, and dark marks."""
+    subject's silhouette (a relation), feature lines, lines between regions of clearly different colour, and dark marks (image by image)."""
     if line_art:
         return pixels.where("alpha > 0").select("img", "i", "x", "y", F.lit(INK).alias("ink"), "alpha")
     ship(pixels.sparkSession)
@@ -170,14 +170,25 @@ def outline_pixels(pixels: DataFrame, size: tuple[int, int], line_art: bool = Fa
         ink = region_lines(s, subject)
         focus = None
         if conf is not None:
-            ink |= silhouette(conf)
             focus = np.where(subject[s.label], edges.erode_disc(conf, 6), 0)
         lum = smooth(grid, 2, 8)[..., 0]
         ink |= edges.dilate_disc(edges.feature_lines(lum, focus), 1) | edges.dark_marks(lum, focus)
         y, x = np.nonzero(ink)
         return pd.DataFrame({"img": key[0], "i": y * width + x, "x": x, "y": y, "ink": INK, "alpha": 255})
 
-    return lab.groupBy("img").applyInPandas(run, "img bigint, i bigint, x int, y int, ink int, alpha int")
+    ink = lab.groupBy("img").applyInPandas(run, "img bigint, i bigint, x int, y int, ink int, alpha int")
+    if not with_conf:
+        return ink
+    drawn = silhouette(pixels, width).select("img", "i", "x", "y", F.lit(INK).alias("ink"), F.lit(255).alias("alpha"))
+    return ink.union(drawn).distinct()
+
+
+def silhouette(px: DataFrame, width: int, least: int = 200, epsilon: float = 2.2, rounds: int = 2, radius: int = 3) -> DataFrame:
+    """(img, i, x, y): a drawn outline of the subject of a confidence mask (conf over 128)."""
+    mask = borders.full_frame(px.withColumn("_v", (F.col("conf") > 128).cast("int")), "_v", width)
+    line = borders.corners_cut(borders.simplified(borders.outlines(mask, "_v", least), epsilon), rounds)
+    ink = marks.strokes(line, radius, R.frames(px), ("img", "loop"), "k")
+    return px.select("img", "i", "x", "y").join(ink, ["img", "x", "y"], "left_semi").select("img", "i", "x", "y")
 
 
 def painted(palette: np.ndarray) -> np.ndarray:

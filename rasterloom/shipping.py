@@ -46,19 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cut_plain(df: DataFrame) -> DataFrame:
-    """As ``cut``, but what the optimizer knew of the rows' partitioning is forgotten: over rounds of joins that knowledge doubles with each join, and planning takes
-    longer than the work. The coalesce moves nothing."""
-    return cut(df.coalesce(1 << 20))
-
-
 def light(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``rows`` rows (narrow ones: some MB), else as it is. It should be cheap to count, as a checkpoint is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+    """``df`` written to the shared folder and read again. Unlike a checkpoint this forgets what the optimizer has inferred of the columns: over rounds of
+    conditional columns that knowledge grows by a factor each round, and planning takes longer than the work."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

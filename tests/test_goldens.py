@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from rasterloom.fixtures import ORD, r_ord
 from rasterloom.functions import color, text
-from rasterloom.operators import contour, edges, grid
+from rasterloom.operators import edges, grid
 from rasterloom.operators import regions as R
 from rasterloom.operators.merge import RegionGraph
 from rasterloom.operators.palette_grid import Random32, kmeans
 from rasterloom.plans import segment
 from rasterloom.sources import rasters
 
+from . import plain_contours as contour
+
 
 def one(spark, expr):
     return spark.range(1).select(expr.alias("v")).first()["v"]

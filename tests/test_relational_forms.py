@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import borders, contour, palette, palette_grid, turning
+from rasterloom.operators import borders, palette, palette_grid, turning
 from rasterloom.sources import raster_source, rasters
 from rasterloom.streaming import progress
 
+from . import plain_contours as contour
+
 
 def loops_of(df):
     out = {}
