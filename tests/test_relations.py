@@ -10,7 +10,7 @@ from rasterloom.fixtures import ORD
 from rasterloom.functions import random
 from rasterloom.operators import edges
 from rasterloom.operators import state as S
-from rasterloom.operators.palette import Random32
+from rasterloom.operators.palette_grid import Random32
 from rasterloom.plans.image_queries import lab_rows
 from rasterloom.sources import rasters
 
