@@ -6,7 +6,7 @@ import importlib
 
 #: Modules with QUERIES (name -> f(spark, sf_dir)) and ORACLES (name -> SQL).
 MODULES: tuple[str, ...] = ("rasterloom.plans.pixel_queries", "rasterloom.plans.catalog_queries", "rasterloom.plans.image_queries")
-FLAGSHIP = "c1_segment_image"
+FLAGSHIP = "g10_g11_g12_palette"
 
 
 def queries() -> dict:
