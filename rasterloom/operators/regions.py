@@ -5,6 +5,8 @@ All windows and joins are keyed by image (and row or column), so they spread ove
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,15 +128,23 @@ def vote(df: DataFrame, col: str, radius: int) -> DataFrame:
 def grow(df: DataFrame, col: str, eight: bool = False) -> DataFrame:
     """(img, i, root): smallest pixel id of each pixel's component of equal values; null values belong to none.
 
-    For images that are too large for one task: rounds of taking the least label among the neighbours, then that label's own
+    Runs of equal pixels in a row are found by a window and are the nodes from then on, so that rounds go over runs and not pixels; each run is named by its first pixel, and
+    linked to the runs that its pixels touch in the row above. Rounds take the least label among the neighbours, then that label's own
     label, each written by checkpoint() to the session's checkpoint folder."""
     px = df.where(F.col(col).isNotNull()).select("img", "i", "x", "y", F.col(col).alias("v"))
-    near = [(1, 0), (0, 1), *([(1, 1), (-1, 1)] if eight else [])]
-    o = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in near)))
-    moved = px.select("img", F.col("i").alias("a"), "v", "x", "y", o.alias("o")).select("img", "a", "v", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    edge = moved.join(px.withColumnRenamed("i", "b"), ["img", "x", "y", "v"]).select("img", "a", "b")
+    before = F.lag(F.struct("x", "v")).over(row_window())
+    begins = before.isNull() | (before["x"] != F.col("x") - 1) | (before["v"] != F.col("v"))
+    runs_of = px.withColumn("begin", F.when(begins, F.col("i")))
+    runs_of = cut(runs_of.withColumn("run", F.max("begin").over(row_window().rowsBetween(Window.unboundedPreceding, 0))).drop("begin"))
+    lines = [F.col("x"), *([F.col("x") - F.col("y"), F.col("x") + F.col("y")] if eight else [])]  # columns, and both diagonals
+    pairs = []
+    for line in lines:
+        above = F.lag(F.struct("y", "v", "run")).over(Window.partitionBy("img", "line").orderBy("y"))
+        near = runs_of.withColumn("line", line).withColumn("up", above).where((F.col("up.y") == F.col("y") - 1) & (F.col("up.v") == F.col("v")))
+        pairs.append(near.select("img", F.col("run").alias("a"), F.col("up.run").alias("b")))
+    edge = reduce(DataFrame.union, pairs).distinct()
     edge = cut(edge.union(edge.select("img", F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(px.select("img", "i", F.col("i").alias("root")))
+    label = cut(runs_of.where("i = run").select("img", "i", F.col("i").alias("root")))
     while True:
         seen = edge.join(label.select("img", F.col("i").alias("b"), "root"), ["img", "b"]).groupBy("img", F.col("a").alias("i")).agg(F.min("root").alias("m"))
         step = label.join(seen, ["img", "i"], "left").select("img", "i", "root", F.least("root", F.coalesce("m", "root")).alias("new"))
@@ -142,5 +152,6 @@ def grow(df: DataFrame, col: str, eight: bool = False) -> DataFrame:
         hook = step.groupBy("img", F.col("root").alias("i")).agg(F.min("new").alias("h"))
         nxt = cut(step.join(top, ["img", "new"], "left").join(hook, ["img", "i"], "left").select("img", "i", "root", F.least("jump", F.coalesce("h", "jump")).alias("new")))
         if not nxt.where("root <> new").limit(1).count():
-            return nxt.select("img", "i", "root")
+            break
         label = nxt.select("img", "i", F.col("new").alias("root"))
+    return runs_of.select("img", "i", "run").join(nxt.select("img", F.col("i").alias("run"), "root"), ["img", "run"]).select("img", "i", "root")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import borders, palette, palette_grid, turning
+from rasterloom.operators import borders, grid, palette, palette_grid, turning
+from rasterloom.operators import regions as R
 from rasterloom.sources import raster_source, rasters
 from rasterloom.streaming import progress
 
@@ -99,3 +100,17 @@ def test_raster_files(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)task|abort|error"):
         raster_source.in_file_order(broken.withColumn("slug", F.concat(F.lit("new-"), "slug"))).write.format("raster").mode("append").save(folder)
     assert sorted(p.name for p in (tmp_path / "rasters").iterdir()) == ["a.ppm", "c.ppm"]  # nothing of the broken job is left
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_components_of_sparse_masks_equal_the_rule(spark, eight):
+    rng = np.random.default_rng(5)
+    images = [np.where(rng.random((int(h), int(w))) < 0.75, rng.integers(0, 2, (int(h), int(w))), -1) for h, w in rng.integers(1, 14, (12, 2))]
+    rows = [(n, y * m.shape[1] + x, x, y, int(m[y, x])) for n, m in enumerate(images) for y in range(m.shape[0]) for x in range(m.shape[1]) if m[y, x] >= 0]
+    px = spark.createDataFrame(rows, "img bigint, i bigint, x int, y int, v int").repartition(3)
+    got = {(r.img, r.i): r.root for r in R.grow(px, "v", eight).collect()}
+    want = {}
+    for n, m in enumerate(images):
+        label = grid.components(m, m >= 0, grid.AROUND_8 if eight else grid.AROUND_4)
+        want |= {(n, i): int(v) for i, v in enumerate(label.ravel()) if v >= 0}
+    assert got == want
