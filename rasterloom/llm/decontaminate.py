@@ -27,8 +27,8 @@ def words_of(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    """The number of ``words_of`` a text, without making them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    """The number of ``words_of`` a text. Splitting is much the cheapest way: regexp_count keeps a match object for every word."""
+    return F.size(words_of(text))
 
 
 def windows_of(items: DataFrame, size: int, item_col: str, text_col: str) -> DataFrame:
