@@ -4,7 +4,8 @@ Each task takes the words of an Arrow batch that it has not met yet, inserts the
 first. A trie node stands for a word prefix; its state is the *last token* of the encoding of that prefix together with
 the node at which this token begins. A child's last token is the longest vocabulary entry that ends there and may follow
 the last token of the node where it begins (two tokens may follow one another if BPE leaves their joined bytes as just
-these two). Prefixes shared by many words are thus encoded once, and a word's ids are read by following the states back.
+these two). The entries that end at a node, longest first, come from an automaton of all entries that goes along with the path, so no
+substring is looked up that is none. Prefixes shared by many words are thus encoded once, and a word's ids are read by following the states back.
 
 The vocabulary (a file of fixed size, ``VOCAB_BOUND`` entries at most) is broadcast. A task holds the words of about a megabyte of text (or of one
 longer text) at a time.
@@ -16,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ PLAIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|
 FULL = regex.compile(SPLIT)
 #: Characters that the two engines class differently: separators of ASCII, numerals that aren't decimal digits, and all
 #: beyond the scripts below, where Unicode versions may differ.
-ODD = re.compile("[\x1c-\x1f\x85²³¹¼-¾]|[^\x00-ɏ‐-‧€]")
+ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧€]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,7 +61,6 @@ class Vocabulary:
             self.rank[raw(a), raw(b)] = r
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
-        self.longest = max(map(len, self.ids))
         if max(self.ids.values()) >= 1 << 20:
             raise ValueError("pairs of ids are packed by 20 bits")
 
@@ -72,17 +73,62 @@ class Vocabulary:
         return out
 
 
+class Endings:
+    """The vocabulary entries that end where a text has been read to: Aho-Corasick over the entries' bytes. ``edges`` maps state << 8 | byte to the next
+    state and takes in steps by failure links as they are met, at most ``CACHE_PAIRS`` of them; ``entries[state]`` are (id, length), longest first."""
+
+    def __init__(self, ids: dict[bytes, int]):
+        self.edges: dict[int, int] = {}
+        self.entries: list[tuple] = [()]
+        self.back = [0]
+        level, deep = {}, {}
+        for word, i in ids.items():
+            at = 0
+            for depth, b in enumerate(word):
+                key = at << 8 | b
+                if (to := self.edges.get(key)) is None:
+                    to = self.edges[key] = len(self.back)
+                    self.back.append(0)
+                    self.entries.append(())
+                    level.setdefault(depth, []).append(key)
+                at = to
+            deep[at] = (i, len(word))
+        self.own = len(self.edges)
+        for depth in sorted(level):  # shorter prefixes first: their failure links are known
+            for key in level[depth]:
+                at = self.edges[key]
+                self.back[at] = to = self.step(self.back[key >> 8], key & 255) if depth else 0
+                self.entries[at] = (deep[at], *self.entries[to]) if at in deep else self.entries[to]
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte, by the failure links."""
+        while (to := self.edges.get(state << 8 | byte)) is None and state:
+            state = self.back[state]
+        return to or 0
+
+    def learn(self, state: int, byte: int) -> int:
+        """``step``, kept among the edges."""
+        if len(self.edges) >= self.own + CACHE_PAIRS:
+            self.edges = dict(islice(self.edges.items(), self.own))
+        to = self.edges[state << 8 | byte] = self.step(state, byte)
+        return to
+
+
 class TrieEncoder:
     """Encodes distinct words by the trie; ``known`` maps a word to its ids as little-endian unsigned 32-bit integers. ``known`` and
-    ``follows`` are caches of at most about ``CACHE_WORDS`` and ``CACHE_PAIRS`` entries, some 50 MB together, and have no influence on results."""
+    ``follows`` are caches of at most about ``CACHE_WORDS`` and ``CACHE_PAIRS`` entries, some 50 MB together, and have no influence on results; when
+``known`` is full, the words that later slices held too stay in it."""
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # known words that a later slice held too
         self.follows: dict[int, bool] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
         size = max(vocab.bytes_of) + 1
         self.table = [vocab.bytes_of.get(i, b"") for i in range(size)]
+        self.code = [i.to_bytes(4, "little") for i in range(size)]
+        self.endings = Endings(vocab.ids)
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE leaves the joined bytes of the tokens a and b as these two."""
@@ -94,47 +140,59 @@ class TrieEncoder:
 
     def merge(self, word: bytes) -> list[bytes]:
         """The rule itself on a short string: join the pair of least rank, leftmost first."""
-        parts, rank, no = [word[i : i + 1] for i in range(len(word))], self.v.rank, 1 << 60
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), no))
-            if (parts[best], parts[best + 1]) not in rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        parts, rank, no = [word[i : i + 1] for i in range(len(word))], self.v.rank.get, 1 << 60
+        ranks = [rank(p, no) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < no:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), no)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), no)
         return parts
 
     def learn(self, words: set[str]) -> None:
         """Insert words in a trie and walk it depth first. Sorted order is that walk: the stack of states holds
         the path of the previous word, cut back to what the next one shares with it."""
-        token, longest, follows, may_follow, table = self.v.ids.get, self.v.longest, self.follows, self.may_follow, self.table
+        follows, may_follow, table, code, endings, known = self.follows, self.may_follow, self.table, self.code, self.endings, self.known
+        entries = endings.entries
         last = [-1]  # last[d]: last token of the encoding of the first d bytes of the path
+        states = [0]  # states[d]: state of the automaton after them
         path = b""
         for w in sorted(x.encode("utf-8", "surrogatepass") for x in words):
             n, d = len(w), 0
             top = min(n, len(path))
             while d < top and w[d] == path[d]:
                 d += 1
-            del last[d + 1 :]
+            del last[d + 1 :], states[d + 1 :]
+            state, edge = states[d], endings.edges.get
             for e in range(d + 1, n + 1):
-                for s in range(max(0, e - longest), e):
-                    t = token(w[s:e])
-                    if t is not None:
-                        if s:
-                            fit = follows.get(last[s] << 20 | t)
-                            if may_follow(last[s], t) if fit is None else fit:
-                                last.append(t)
-                                break
-                        elif e < 3 or self.whole(t):
-                            last.append(t)
+                to = edge(state << 8 | w[e - 1])
+                if to is None:
+                    to = endings.learn(state, w[e - 1])
+                    edge = endings.edges.get
+                state = to
+                for t, size in entries[state]:
+                    if size < e:
+                        before = last[e - size]
+                        fit = follows.get(before << 20 | t)
+                        if may_follow(before, t) if fit is None else fit:
                             break
+                    elif e < 3 or self.whole(t):
+                        break
                 else:
                     raise ValueError(f"no encoding of byte {w[e - 1]}")
+                last.append(t)
+                states.append(state)
             path = w
             out, e = [], n
             while e:
-                out.append(last[e])
-                e -= len(table[last[e]])
+                t = last[e]
+                out.append(code[t])
+                e -= len(table[t])
             out.reverse()
-            self.known[w.decode("utf-8", "surrogatepass")] = np.array(out, "<u4").tobytes()
+            known[w.decode("utf-8", "surrogatepass")] = b"".join(out)
 
     def whole(self, t: int) -> bool:
         """Whether the merges lead to a token from its bytes at all."""
@@ -150,10 +208,16 @@ class TrieEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         known = self.known
         block = [self.parts(t) for t in texts]  # the words of all texts given make one trie
-        words = {w for doc in block for part in doc if isinstance(part, list) for w in part}
-        if len(known) + len(words) > CACHE_WORDS:
+        words = set().union(*(part for doc in block for part in doc if isinstance(part, list)))
+        new = words.difference(known)
+        self.again |= words - new
+        if len(known) + len(new) > CACHE_WORDS:  # what was met only once goes
+            kept = {w: known[w] for w in self.again} if len(self.again) + len(words) <= CACHE_WORDS else {}
             known.clear()
-        self.learn({w for w in words if w not in known})
+            known.update(kept)
+            self.again.clear()
+            new = words.difference(known)
+        self.learn(new)
         for doc in block:
             yield b"".join(b"".join(map(known.__getitem__, p)) if isinstance(p, list) else p for p in doc)
 
