@@ -17,7 +17,7 @@ right sizes and names it in the file ``CURRENT``, by a rename; readers do so too
 that died midway, changes nothing for readers.
 
 Texts are encoded twice, first to count sequences and then to cut them: to keep the tokens between the two would be another table of
-about 0.8 times the texts, beside the shuffle and the shards.
+about 0.8 times the texts, beside the shuffle and the shards. Of each slice of a batch (``SLICE`` bytes of text) every distinct word is encoded once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from operator import xor
 
 import numpy as np
@@ -39,9 +40,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import SPLIT
 from .common import materialise, scratch_dir, ship, slices, small
 
 ROUNDS = 6
+#: Bytes of text encoded at a time.
+SLICE = 4 << 20
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -69,19 +73,28 @@ WHITE = "\t-\r \x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The alternative that looks ahead: of a run of white space before a word, all but the last character.
 AHEAD = r"\s+(?!\S)|"
 GAP, CUT = f"[{WHITE}][{WHITE}][^{WHITE}]", re.compile(f"(?<=[{WHITE}])(?=[{WHITE}][^{WHITE}])")
+#: Patterns by which a new piece begins at every space that no other white space touches.
+SPACED = (SPLIT,)
+#: A space that touches other white space; what a word holds if its pieces could change between other words.
+TOUCH, LOOSE = f" [{WHITE}]|[{WHITE}] ", f"[{WHITE}][{WHITE}]|[{WHITE}]$|^$"
 
 
 class RankEncoder:
     """Token ids by a rank file (base64 token and rank on each line) and its split pattern; the text has no special tokens.
 
     Engines run a pattern that doesn't look ahead about twice as fast. So ``AHEAD`` is left out of the pattern, and the few texts in which it
-    could matter are cut before the last white space of such runs, which gives the same pieces."""
+    could matter are cut before the last white space of such runs, which gives the same pieces.
+
+    By the patterns of ``SPACED``, texts are cut before their spaces, and all distinct words of the texts given are encoded once, in one text. First words,
+    and texts in which a space touches other white space, are encoded as they are."""
 
     def __init__(self, path: str, pattern: str, end: int, width: int = 2):
         with open(path, "rb") as f:
             raw = f.read()
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         self.pattern, self.end, self.width, self.digest = pattern, end, width, hashlib.sha256(raw).hexdigest()
+        self.spaced = np.zeros(max(self.ranks.values(), default=0) + 1, bool)  # tokens that begin with a space
+        self.spaced[[i for t, i in self.ranks.items() if t[:1] == b" "]] = True
         self._made = None
 
     def __getstate__(self):
@@ -100,6 +113,43 @@ class RankEncoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, f"<u{self.width}") for ids in self.lists(texts)]
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many tokens each text has; null counts as empty."""
+        _, ends, entry, first = self._entries(texts)
+        return np.add.reduceat(np.diff(ends)[entry], first, dtype=np.int64)
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        ids, ends, entry, first = self._entries(texts)
+        found = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(ids)).take(pa.array(entry)).flatten()
+        return found.to_numpy(), np.add.reduceat(np.diff(ends)[entry], first, dtype=np.int64)
+
+    def _entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ends, entry, first): entry e has the ids from ends[e] to ends[e + 1]; text i is made up of the entries entry[first[i]], ... up to the
+        next text's. One text at least."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, TOUCH) if self.pattern in SPACED else pa.array([True] * len(texts))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        heads = self.lists(pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist())
+        first, later = np.asarray(cut.offsets)[:-1] - cut.offsets[0].as_py(), cut.flatten()
+        inner = np.ones(len(later), bool)
+        inner[first] = False
+        coded = later.filter(pa.array(inner)).dictionary_encode()
+        words, loose = coded.dictionary, np.asarray(pc.match_substring_regex(coded.dictionary, LOOSE))
+        firm = words.filter(pa.array(~loose)).cast(pa.string())
+        # firm words as one text; each begins with its only space
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(firm)], pa.int64()), firm), " ")[0].as_py()
+        ids = np.array(self.lists([f" {joined}"])[0] if len(firm) else [], f"<u{self.width}")
+        rest = self.lists([f" {w}" for w in words.filter(pa.array(loose)).to_pylist()]) + heads
+        sizes = np.concatenate([np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))), np.fromiter(map(len, rest), np.int64, len(rest))])
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), ids.dtype)])
+        place = np.empty(len(words), np.int64)
+        place[np.argsort(loose, kind="stable")] = np.arange(len(words))  # firm words, loose ones, heads
+        entry = np.empty(len(later), np.int64)
+        entry[inner] = place[np.asarray(coded.indices)]
+        entry[first] = len(words) + np.arange(len(texts))
+        return ids, np.concatenate([[0], np.cumsum(sizes)]), entry, first
+
 
 #: Names a distinct row of ``_source``; h and chars are never null.
 KEY = ("id", "h", "chars")
@@ -115,7 +165,7 @@ def _unclear(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("copies").alias("rows")).where("id is null or rows > 1").select("id")
 
 
-def _sequences(tokens: int, length: int) -> int:
+def _sequences(tokens: np.ndarray, length: int) -> np.ndarray:
     return -(-(tokens + 1) // length)
 
 
@@ -129,8 +179,8 @@ def numbered(docs: DataFrame, encoder: RankEncoder, length: int, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
-                n = [_sequences(len(t), length) for t in sent.value.lists([t or "" for t in b.column("text").to_pylist()])]
+            for b in slices(whole, "text", SLICE):
+                n = _sequences(sent.value.counts(b.column("text")), length)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.array(n, pa.int64())], [*KEY, "n"])
 
     counts = materialise(src.mapInArrow(run, "id bigint, h bigint, chars int, n bigint"), "sequence-counts")
@@ -190,21 +240,19 @@ def write_shards(docs: DataFrame, encoder: RankEncoder, folder: str | None = Non
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
-                ids, seq, first, used, rows = [], [], [], [], []
-                for i, f, t in zip(b.column("id").to_pylist(), b.column("first").to_pylist(), sent.value([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    n = _sequences(len(t), length)
-                    full = np.full(n * length, sent.value.end, t.dtype)
-                    full[: len(t)] = t
-                    raw = full.tobytes()
-                    for k in range(n):
-                        ids.append(i)
-                        seq.append(k)
-                        first.append(f + k)
-                        used.append(max(0, min(length, len(t) - k * length)))
-                        rows.append(raw[k * length * width : (k + 1) * length * width])
-                slot = feistel(np.array(first), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(ids, pa.int64()), pa.array(seq, pa.int64()), pa.array(used, pa.int64()), pa.array(rows, pa.binary())], ["slot", "id", "seq_no", "n_tokens", "data"])
+            for b in slices(whole, "text", SLICE):
+                tokens, sizes = sent.value.tokens(b.column("text"))
+                n = _sequences(sizes, length)
+                row, done = np.cumsum(n) - n, np.cumsum(sizes) - sizes  # of each text's start
+                full = np.full(int(n.sum()) * length, sent.value.end, tokens.dtype)
+                for r, d, k in zip((row * length).tolist(), done.tolist(), sizes.tolist(), strict=True):
+                    full[r : r + k] = tokens[d : d + k]
+                text = np.repeat(np.arange(len(n)), n)
+                seq = np.arange(len(text)) - row[text]
+                slot = feistel(np.asarray(b.column("first"))[text] + seq, total, key)
+                used = np.clip(sizes[text] - seq * length, 0, length)
+                data = pa.Array.from_buffers(pa.large_binary(), len(seq), [None, pa.py_buffer(np.arange(len(seq) + 1) * length * width), pa.py_buffer(full)])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("id").take(pa.array(text)), pa.array(seq), pa.array(used), data.cast(pa.binary())], ["slot", "id", "seq_no", "n_tokens", "data"])
 
     cut_up = src.mapInArrow(cut, "slot bigint, id bigint, seq_no bigint, n_tokens bigint, data binary")
     shards = -(-total // per_shard)
