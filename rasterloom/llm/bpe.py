@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -67,10 +68,7 @@ class Vocabulary:
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
-            raw = f.read()
-        out = cls(json.loads(raw))
-        out.digest = hashlib.sha256(raw).hexdigest()
-        return out
+            return cls(json.load(f))
 
 
 class Endings:
@@ -236,14 +234,16 @@ class TrieEncoder:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, TrieEncoder] = {}
+class Sent:
+    """What is broadcast: a vocabulary, and in a worker the encoder that its first task makes for the later ones. Both go when Spark takes the broadcast
+    from the worker, before a task of another kind; kept by the module, an encoder and its caches would add to all that the worker does later."""
 
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
 
-def encoder(key: str, vocab: Vocabulary) -> TrieEncoder:
-    """One encoder for each worker and content of a tokenizer file, kept between tasks."""
-    if key not in _encoders:
-        _encoders[key] = TrieEncoder(vocab)
-    return _encoders[key]
+    @cached_property
+    def encoder(self) -> TrieEncoder:
+        return TrieEncoder(self.vocab)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "n_tokens", "decoded")) -> DataFrame:
@@ -255,8 +255,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
     overlap. No shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    vocab = Vocabulary.from_file(tokenizer_path)
-    sent, name, own = spark.sparkContext.broadcast(vocab), vocab.digest, fresh("__text", keep)
+    sent, own = spark.sparkContext.broadcast(Sent(Vocabulary.from_file(tokenizer_path))), fresh("__text", keep)
     kinds = {"ids": "binary", "n_tokens": "bigint", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     if set(keep) & set(outputs):
         raise ValueError("kept columns and outputs share a name")
@@ -265,7 +264,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: t
     arrow = {"ids": pa.binary(), "n_tokens": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(name, sent.value)
+        enc = sent.value.encoder
         for whole in batches:
             for batch in slices(whole, own):
                 texts = [t or "" for t in batch.column(own).to_pylist()]

@@ -147,14 +147,19 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with a feature by label, added up over a batch. The feature '' counts rows."""
+    """Rows with a feature by label, added up over a slice of a batch. The feature '' counts rows."""
     for b in (part for whole in batches for part in slices(whole, "text")):
-        c: tuple[Counter, Counter] = (Counter(), Counter())
-        for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-            c[y].update(_features(t))
-            c[y][""] += 1
-        keys = list(c[0].keys() | c[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64())], ["f", "t", "c"])
+        yield _tally(b)
+
+
+def _tally(b: pa.RecordBatch) -> pa.RecordBatch:
+    """One slice's counts; a function of its own, so that they are gone before the next slice is counted."""
+    c: tuple[Counter, Counter] = (Counter(), Counter())
+    for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+        c[y].update(_features(t))
+        c[y][""] += 1
+    keys = list(c[0].keys() | c[1].keys())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([c[1][k] for k in keys], pa.int64()), pa.array([c[0][k] for k in keys], pa.int64())], ["f", "t", "c"])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", min_share: float = 0.004, impurity: float = 0.02, evidence: float = 15.0) -> Model:
@@ -218,13 +223,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     name = name or ("raw" if raw else "score")
     if name in keep:
         raise ValueError(f"a column {name} is kept already")
-    src = docs.select(F.struct(*columns(keep)).alias("kept"), *(c.alias("text") for c in columns([text_col])))  # a struct: names may hold dots
+    kept = F.struct(*columns(keep)).alias("kept")  # a struct: names may hold dots
+    at = keep.index(text_col) if text_col in keep else None  # a text that is kept anyway is sent once
+    src = docs.select(kept) if at is not None else docs.select(kept, *(c.alias("text") for c in columns([text_col])))
     schema = T.StructType([src.schema["kept"], T.StructField("value", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value.raw if raw else sent.value.score
         for whole in batches:
-            for b in slices(whole, "text"):
+            text = whole.column("text") if at is None else whole.column("kept").field(at)
+            for b in slices(pa.RecordBatch.from_arrays([whole.column("kept"), text], ["kept", "text"]), "text"):
                 values = [f(t or "") for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(values, pa.float64())], ["kept", "value"])
 
