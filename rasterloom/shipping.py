@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
+#: For tables in a shared folder that is mounted as a local path; other schemes don't look at it. Hadoop's local file system starts ``chmod`` for each folder and
+#: file, and what has just been started shares the JVM's whole memory. Without ``.crc`` files a task starts two, not three; Parquet's own checksums stand for them.
+WRITING = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+READING = {"parquet.page.verify-checksum.enabled": "true"}
+
 
 def ship(spark: SparkSession) -> None:
     """Once for each application."""
@@ -55,5 +60,5 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
     """``df`` written to the shared folder and read again. Unlike a checkpoint this forgets what the optimizer has inferred of the columns: over rounds of
     conditional columns that knowledge grows by a factor each round, and planning takes longer than the work."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**WRITING).parquet(path)
+    return df.sparkSession.read.options(**READING).schema(df.schema).parquet(path)
