@@ -45,16 +45,20 @@ def compact(mask: DataFrame, least: float, most: DataFrame | float, fill: float
     return _kept(rooted, stats, (F.col("n") >= least) & (F.col("n") <= bound) & (F.col("n") / F.col("box") >= fill))
 
 
-def box_means(px: DataFrame, columns: list[str], width: int, to: tuple[int, int]) -> DataFrame:
+def box_means(px: DataFrame, columns: list[str], width: int, to: tuple[int, int], frames: DataFrame | None = None) -> DataFrame:
     """(img, ox, oy and the means of ``columns``) over the boxes of a raster shrunk to ``to``; boxes have floor and ceiling bounds and may
-    overlap. Images are ``width`` wide and reach down to their last row."""
-
-    def span(c: Column, n: Column, m: int) -> Column:
-        return F.explode(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda o: (F.floor(o * n / F.lit(float(m))) <= c) & (F.ceil((o + 1) * n / F.lit(float(m))) > c)))
-
-    tall = px.join(R.frames(px).select("img", (F.col("bottom") + 1).alias("_h")), "img")
-    wide = tall.select("img", "y", "_h", *columns, span(F.col("x"), F.lit(width), to[0]).alias("ox"))
-    both = wide.select("img", "ox", *columns, span(F.col("y"), F.col("_h"), to[1]).alias("oy"))
+    overlap. Images are ``width`` wide and reach down to their last row (``frames``, if it is known)."""
+
+    def span(df: DataFrame, c: str, n: Column, m: int, name: str, keep: list[str]) -> DataFrame:
+        """A row for each box that holds a place: the boxes around it are looked at, all others are too far away."""
+        place = lambda k: F.floor((F.col(c) + k) * m / n).cast("int")
+        near = df.select(*keep, c, n.alias("_n"), F.explode(F.sequence(F.greatest(F.lit(0), place(0) - 1), F.least(F.lit(m - 1), place(1) + 1))).alias(name))
+        o, n = F.col(name), F.col("_n")
+        return near.where(o.between(0, m - 1) & (F.floor(o * n / F.lit(float(m))) <= F.col(c)) & (F.ceil((o + 1) * n / F.lit(float(m))) > F.col(c))).select(*keep, name)
+
+    tall = px.join((R.frames(px) if frames is None else frames).select("img", (F.col("bottom") + 1).alias("_h")), "img")
+    wide = span(tall, "x", F.lit(width), to[0], "ox", ["img", "y", "_h", *columns])
+    both = span(wide, "y", F.col("_h"), to[1], "oy", ["img", "ox", *columns])
     return both.groupBy("img", "ox", "oy").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns))
 
 

@@ -16,7 +16,7 @@ from ..operators import palette as P
 from ..operators import regions as R
 from ..operators.merge import RegionGraph, merge_regions
 from ..operators.state import build_plan
-from ..shipping import cut, shared_folder
+from ..shipping import cut, light, shared_folder, stored
 from ..sources import raster_source, rasters
 from ..streaming import gestures
 from ..streaming.progress import stream_fills
@@ -89,7 +89,8 @@ tp as (select g.img, g.i, lo.l, lo.a, lo.bb, lo.ox = g.px and lo.oy = g.py own,
 select img, i, round(cast(case when sum(w) > 1e-12 then sum(w * l) / sum(w) else max(l) filter (own) end as float)::double, 2) l, round(cast(case when sum(w) > 1e-12 then sum(w * a) / sum(w) else max(a) filter (own) end as float)::double, 2) a, round(cast(case when sum(w) > 1e-12 then sum(w * bb) / sum(w) else max(bb) filter (own) end as float)::double, 2) b from tp group by img, i""")
 def w4(s, d):
     px = lab_rows(s, d)
-    return rounded(smoothing.guided_upsample(marks.box_means(px, list("lab"), ORD[0], (50, 16)), px, list("lab"), ORD, (50, 16), 11.0))
+    frames = light(stored(R.frames(px), "frames"))
+    return rounded(smoothing.guided_upsample(marks.box_means(px, list("lab"), ORD[0], (50, 16), frames), px, list("lab"), ORD, (50, 16), 11.0, frames=frames))
 
 
 SMALL_SIZE = (48, max(1, int(np.floor(ORD[1] * 48 / ORD[0] + 0.5))))
