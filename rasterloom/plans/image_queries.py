@@ -212,7 +212,7 @@ def colors_of(df: DataFrame) -> DataFrame:
 
 @query("g10_spread_start", f"with {START_SQL} select img, idx, round(l, 3) l, round(a, 3) a, round(b, 3) b from ({' union all '.join(f'select img, {i} idx, l, a, b from s{i}' for i in range(8))})")
 def g10(s, d):
-    start = P.spread_start(P.samples(lab_rows(s, d)), 8)
+    start = P.spread_start(stored(P.samples(lab_rows(s, d))), 8)
     return colors_of(start.select("img", "idx", "lab.*"))
 
 
